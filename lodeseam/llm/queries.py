@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import bpe_chunks, decontaminate, encoders, line_dedup, token_files
+from lodeseam.llm import bpe_chunks, decontaminate, encoders, line_dedup, near_dups, token_files
 from lodeseam.llm.common import sha, table
 
 
@@ -41,6 +41,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", sha(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 
+def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.link_near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, threshold=0.8)
+
+
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = rf"""
@@ -69,6 +73,22 @@ SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE last IS NOT
 FROM k LEFT JOIN often ON k.key = often.key GROUP BY k.doc_id
 """
 
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS (SELECT g, count(*) AS df FROM s GROUP BY g),
+o AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY df, g) AS k FROM s JOIN f USING (g)),
+p AS (SELECT o.doc_id, g, n FROM o JOIN n USING (doc_id) WHERE k <= n - ceil(0.8 * n) + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id WHERE 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+x AS (SELECT c.a, c.b, na, nb, count(*) AS inter FROM c JOIN s u ON u.doc_id = c.a JOIN s v ON v.doc_id = c.b AND v.g = u.g GROUP BY ALL),
+e AS (SELECT a, b FROM x WHERE 100 * inter >= 80 * (na + nb - inter)),
+e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS doc_id, a AS other FROM e2 UNION SELECT r.doc_id, e2.b FROM r JOIN e2 ON r.other = e2.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, m.c) AS component_id, d.doc_id = least(d.doc_id, m.c) AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN (SELECT doc_id, min(other) AS c FROM r GROUP BY doc_id) m ON d.doc_id = m.doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()]
@@ -76,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op7_line_dedup": OP7_SQL, "op10_chosen_path": OP10_SQL}
