@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import bpe_chunks, decontaminate, encoders, line_dedup, near_dups, token_files
+from lodeseam.llm import bpe_chunks, decontaminate, encoders, language, line_dedup, near_dups, token_files
 from lodeseam.llm.common import sha, table
 
 
@@ -30,6 +30,12 @@ def op3_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", sha(F.col("ids")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.train(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = encoders.ByteEncoder.opened(tokenizer_path("byte_bpe_50k.json"))
     files = token_files.write_token_files(table(spark, sf_dir, "documents"), token_files.token_folder(spark), encoder, 2, encoder.vocabulary)
