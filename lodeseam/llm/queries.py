@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import bpe_chunks, decontaminate, encoders, language, line_dedup, near_dups, token_files
+from lodeseam.llm import bpe_chunks, decontaminate, encoders, language, line_dedup, near_dups, secrets, spans, token_files
 from lodeseam.llm.common import sha, table
 
 
@@ -24,6 +24,15 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", f.n_words.alias("n_words"), f.n_hit.alias("n_hit"), F.size(f.item_ids).cast("long").alias("n_items"), decontaminate.item_digest(f.item_ids).alias("items_sha256"), (f.n_hit > 0).alias("contaminated"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.train_markov(secrets.labelled_samples(docs)))
+    s = F.col("secrets")
+    n = {k: spans.count_of(s, k) for k in secrets.KINDS}
+    base = F.filter(s, lambda x: x["kind"] != "markov")
+    return found.select("doc_id", n["assign"].alias("n_assign"), n["access"].alias("n_access"), n["hex"].alias("n_hex"), sha(spans.written(base)).alias("base_sha256"), spans.written(s).alias("spans"))
+
+
 def op3_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = encoders.WordEncoder.opened(tokenizer_path("word_bpe_49k.json"))
     coded = bpe_chunks.encode_chunked(table(spark, sf_dir, "documents"), encoder)
