@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import bpe_chunks, decontaminate, encoders, language, line_dedup, near_dups, secrets, spans, token_files
+from lodeseam.llm import bpe_chunks, decontaminate, encoders, language, line_dedup, near_dups, personal, secrets, spans, token_files
 from lodeseam.llm.common import sha, table
 
 
@@ -56,6 +56,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", sha(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 
+def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal.find_personal(docs, personal.train_candidates(spark))
+    s = F.col("personal")
+    base = F.filter(s, lambda x: x["order"] < len(personal.KINDS))
+    return found.select("doc_id", *(spans.count_of(s, k).alias(f"n_{k}") for k in personal.KINDS), sha(spans.written(base)).alias("base_sha256"), spans.written(s).alias("spans"))
+
+
 def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.link_near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, threshold=0.8)
 
