@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import bpe_chunks, decontaminate, encoders, language, line_dedup, near_dups, personal, secrets, spans, token_files
+from lodeseam.llm import avi, bpe_chunks, decontaminate, encoders, language, line_dedup, near_dups, personal, secrets, spans, token_files
 from lodeseam.llm.common import sha, table
 
 
@@ -51,6 +51,17 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(files)
 
 
+def op6_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    read = avi.read_media(avi.store_media(docs))
+    clips, data, media = F.col("clips"), F.col("payload"), F.col("media")
+    longest = F.array_max(F.transform(clips, lambda c: c["last_frame"] - c["first_frame"] + 1))
+    level = F.aggregate(clips, F.lit(0.0), lambda a, c: a + c["level"] * (c["last_frame"] - c["first_frame"] + 1)) / (F.element_at(clips, -1)["last_frame"] + 1)
+    cuts = F.array_join(F.transform(F.slice(clips, 2, F.greatest(F.size(clips), F.lit(1))), lambda c: c["first_frame"].cast("string")), ",")
+    feature = F.concat(F.lit("clips="), F.size(clips), F.lit(";longest="), longest, F.lit(";level="), F.format_number(level, 3), F.lit(";cuts="), cuts)
+    return read.select("doc_id", "n_bytes", F.octet_length(data).cast("long").alias("payload_bytes"), sha(data).alias("payload_sha256"), F.crc32(F.substring(data, -64, 64)).alias("tail_crc32"), F.octet_length(media).cast("long").alias("media_bytes"), sha(media).alias("media_sha256"), feature.alias("feature"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
     return done.select("doc_id", "n_lines", "n_dropped", sha(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
