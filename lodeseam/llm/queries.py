@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import avi, bpe_chunks, decontaminate, encoders, language, line_dedup, near_dups, personal, secrets, spans, token_files
+from lodeseam.llm import avi, bpe_chunks, cross_entropy, decontaminate, encoders, language, line_dedup, near_dups, personal, secrets, spans, token_files
 from lodeseam.llm.common import sha, table
 
 
@@ -67,6 +67,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", sha(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 
+def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    target = table(spark, sf_dir, "labels").where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
+    return cross_entropy.score(docs, cross_entropy.train(docs, target))
+
+
 def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = personal.find_personal(docs, personal.train_candidates(spark))
