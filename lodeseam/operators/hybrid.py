@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeseam.functions import vocab
 from lodeseam.functions.text import jaccard, query_tokens, shingles
-from lodeseam.operators.lexical import bm25, top
+from lodeseam.operators.lexical import TIE_DIGITS, bm25, top
 from lodeseam.operators.vector import cosine_hits
 
 # Weights and bonuses, thresholds, limits.
@@ -84,7 +84,7 @@ def diversified(hits: DataFrame, per_document: int = PER_DOCUMENT, near: float =
     hits has query_id, doc_id, chunk_id, final, merge_pos, text, limit. A query's pool is bounded by the limits, so it is folded
     within one row; hits that are not taken neither fill a document nor keep others out.
     """
-    row = F.struct((-F.col("final")).alias("key"), "merge_pos", "chunk_id", "doc_id", shingles(F.col("text")).alias("grams"))
+    row = F.struct((-F.round("final", TIE_DIGITS)).alias("key"), "merge_pos", "chunk_id", "doc_id", F.col("final").alias("exact"), shingles(F.col("text")).alias("grams"))
     pools = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("l"), F.max("limit").alias("limit"))
     none = F.filter(F.col("l"), lambda x: F.lit(False))
 
@@ -94,7 +94,7 @@ def diversified(hits: DataFrame, per_document: int = PER_DOCUMENT, near: float =
         return F.when((F.size(taken) >= F.col("limit")) | full | close, taken).otherwise(F.concat(taken, F.array(x)))
 
     folded = pools.select("query_id", F.posexplode(F.aggregate("l", none, step)).alias("pos", "x"))
-    return folded.select("query_id", "x.chunk_id", (-F.col("x.key")).alias("final"), (F.col("pos") + 1).alias("rank"))
+    return folded.select("query_id", "x.chunk_id", F.col("x.exact").alias("final"), (F.col("pos") + 1).alias("rank"))
 
 
 def search(chunks: DataFrame, tokens: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, encoder=None, sources: DataFrame | None = None, techniques: list[str] | None = None, markers: list[str] | None = None, per_document: int = PER_DOCUMENT) -> DataFrame:

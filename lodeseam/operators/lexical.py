@@ -13,6 +13,8 @@ from lodeseam.functions.text import index_tokens, query_tokens
 
 #: BM25 parameters and the floor of the inverse document frequency.
 K1, B, FLOOR = 1.2, 0.75, 1e-6
+#: Scores that agree to so many digits are ties: sums of the same terms in another order must not change a ranking.
+TIE_DIGITS = 9
 #: Phrases of a query batch up to which they are broadcast.
 BROADCAST_PHRASES = 200_000
 FIELDS = ("title", "section", "text")
@@ -80,7 +82,7 @@ def bm25(tokens: DataFrame, queries: DataFrame, allowed: DataFrame | None = None
 
 def top(hits: DataFrame, limit: int | Column, by: str = "score", offset: int = 0, tie: str = "chunk_id") -> DataFrame:
     """The best `limit` of each query after `offset`, with rank from 1. Spark keeps only each partition's best before the shuffle."""
-    w = Window.partitionBy("query_id").orderBy(F.desc(by), tie)
+    w = Window.partitionBy("query_id").orderBy(F.round(by, TIE_DIGITS).desc(), tie)
     ranked = hits.withColumn("rank", F.row_number().over(w))
     last = limit + offset if isinstance(limit, int) else limit + F.lit(offset)
     return ranked.where((F.col("rank") > offset) & (F.col("rank") <= last))

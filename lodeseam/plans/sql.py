@@ -45,7 +45,7 @@ TOKENS = CHUNKS + f", tk AS (SELECT chunk_id, source_id, doc_id, {TOK('title')}
 def bm25(queries: str = "SELECT item_id AS query_id, text AS query FROM benchmark", allowed: str = "true") -> str:
     return (
         TOKENS
-        + rf""", st AS (SELECT count(*) AS N, sum(len(t1) + len(t2) + len(t3))::DOUBLE / count(*) AS avgdl FROM tk),
+        + rf""", st AS (SELECT count(*) AS total, sum(len(t1) + len(t2) + len(t3))::DOUBLE / count(*) AS avgdl FROM tk),
 qs AS ({queries}),
 qt AS (SELECT query_id, unnest({dedup(QTOK("query"))}) AS qtok FROM qs),
 ph AS (SELECT query_id, {TOK("qtok")} AS phrase FROM qt WHERE len({TOK("qtok")}) > 0),
@@ -53,11 +53,11 @@ pd AS (SELECT DISTINCT phrase, phrase[1] AS term, len(phrase) AS m FROM ph),
 oc AS (SELECT chunk_id, f, i, t[i] AS term, t FROM (SELECT chunk_id, f, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT chunk_id, 1 AS f, t1 AS t FROM tk UNION ALL SELECT chunk_id, 2, t2 FROM tk UNION ALL SELECT chunk_id, 3, t3 FROM tk))),
 fr AS (SELECT chunk_id, phrase, count(*) AS f FROM oc JOIN pd USING (term) WHERE m = 1 OR t[i : i + m - 1] = phrase GROUP BY ALL),
 nf AS (SELECT phrase, count(*) AS n FROM fr GROUP BY phrase),
-idf AS (SELECT phrase, avgdl, CASE WHEN ln((N - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((N - n + 0.5) / (n + 0.5)) END AS idf FROM nf, st),
+idf AS (SELECT phrase, avgdl, CASE WHEN ln((total - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((total - n + 0.5) / (n + 0.5)) END AS idf FROM nf, st),
 bm AS (SELECT query_id, fr.chunk_id, -sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * (len(t1) + len(t2) + len(t3)) / avgdl))) AS bm25
   FROM fr JOIN idf USING (phrase) JOIN ph USING (phrase) JOIN tk ON fr.chunk_id = tk.chunk_id WHERE {allowed} GROUP BY ALL),
 sc AS (SELECT *, greatest(-bm25, 0) / (1 + greatest(-bm25, 0)) AS score FROM bm),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc)"""
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sc)"""
     )
 
 
@@ -67,7 +67,7 @@ PHRASE_QUERIES = """SELECT query_id, array_to_string(list_transform(range(1, len
 
 COSINE = """v AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v, label FROM embeddings),
 cs AS (SELECT q.chunk_id AS query_id, v.chunk_id, list_dot_product(v.v, q.v) AS c FROM v, v q WHERE q.chunk_id IN (0, 7, 14, 21) AND {}),
-cr AS (SELECT *, greatest(c, 0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, chunk_id) AS rank FROM cs)"""
+cr AS (SELECT *, greatest(c, 0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, chunk_id) AS rank FROM cs)"""
 
 POOL = (
     bm25()
@@ -83,7 +83,7 @@ fi AS (SELECT *, score * CASE authority WHEN 'official' THEN 1.0 WHEN 'trusted'
 
 def greedy(source: str, limit: int) -> str:
     """source: query_id, chunk_id, doc_id, final, merge_pos, text."""
-    return f""", gs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, merge_pos, chunk_id) AS pos FROM {source}),
+    return f""", gs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(final, 9) DESC, merge_pos, chunk_id) AS pos FROM {source}),
 gt AS (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM (SELECT DISTINCT chunk_id, text FROM gs)),
 gg AS (SELECT chunk_id, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS g FROM gt WHERE len(w) > 0),
 gu AS (SELECT chunk_id, len(g) AS n, unnest(g) AS s FROM gg),
@@ -91,9 +91,9 @@ gp AS (SELECT DISTINCT a.chunk_id AS a, b.chunk_id AS b FROM gs a JOIN gs b ON a
 gj AS (SELECT a, b FROM gp JOIN gu x ON x.chunk_id = a JOIN gu y ON y.chunk_id = b AND y.s = x.s GROUP BY a, b HAVING count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.9),
 gn AS (SELECT gs.query_id, pos, gs.chunk_id, doc_id, final, coalesce((SELECT list(b) FROM gj WHERE a = gs.chunk_id), []) AS near FROM gs),
 gr AS (SELECT query_id, 0::BIGINT AS pos, []::BIGINT[] AS sel, []::BIGINT[] AS docs FROM (SELECT DISTINCT query_id FROM gn)
-  UNION ALL SELECT gr.query_id, gn.pos, CASE WHEN ok THEN list_append(sel, chunk_id) ELSE sel END, CASE WHEN ok THEN list_append(docs, doc_id) ELSE docs END
-  FROM (SELECT gr.*, gn.chunk_id, gn.doc_id, gn.pos AS p2, len(sel) < {limit} AND len(list_filter(docs, lambda x: x = gn.doc_id)) < 2 AND NOT list_has_any(sel, near) AND NOT list_contains(sel, gn.chunk_id) AS ok
-    FROM gr JOIN gn ON gn.query_id = gr.query_id AND gn.pos = gr.pos + 1) gr JOIN gn ON gn.query_id = gr.query_id AND gn.pos = gr.p2),
+  UNION ALL SELECT query_id, p2, CASE WHEN ok THEN list_append(sel, c) ELSE sel END, CASE WHEN ok THEN list_append(docs, d) ELSE docs END
+  FROM (SELECT gr.query_id, gr.sel, gr.docs, gn.chunk_id AS c, gn.doc_id AS d, gn.pos AS p2, len(gr.sel) < {limit} AND len(list_filter(gr.docs, lambda x: x = gn.doc_id)) < 2 AND NOT list_has_any(gr.sel, gn.near) AS ok
+    FROM gr JOIN gn ON gn.query_id = gr.query_id AND gn.pos = gr.pos + 1)),
 ge AS (SELECT query_id, arg_max(sel, pos) AS sel FROM gr GROUP BY query_id),
 gx AS (SELECT query_id, unnest(sel) AS chunk_id, unnest(range(1, len(sel) + 1)) AS rank FROM ge)"""
 
