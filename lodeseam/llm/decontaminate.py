@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseam.llm.common import WORD_BYTES, sha
+from lodeseam.llm.common import WORD_BYTES, fresh, sha
 
 #: An automaton holds at most so many item words; more items make more automata, which documents pass in turn.
 BLOCK_WORDS = 200_000
@@ -203,7 +203,8 @@ def remove_contamination(docs: DataFrame, items: DataFrame, text_col: str = "tex
     their place), as do shorter spans that are whole items. A document whose marked words are over max_coverage of
     all its words goes. Clean rows, null texts included, are as they were.
     """
-    found = find_contamination(docs, items, text_col, window=window, **more)
+    (held,) = fresh(docs, "found")  # a column of that name is the caller's
+    found = find_contamination(docs.withColumnRenamed("found", held), items, text_col, window=window, **more)
     hit = F.col("found.n_hit")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,4 +224,4 @@ def remove_contamination(docs: DataFrame, items: DataFrame, text_col: str = "tex
             yield pa.RecordBatch.from_arrays(columns[:-1], names=batch.schema.names[:-1])
 
     kept = found.where((hit == 0) | (hit <= max_coverage * F.col("found.n_words")))
-    return kept.mapInArrow(cut, T.StructType(kept.schema.fields[:-1]))
+    return kept.mapInArrow(cut, T.StructType(kept.schema.fields[:-1])).withColumnRenamed(held, "found")
