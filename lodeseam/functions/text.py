@@ -19,6 +19,11 @@ SPACE = r"(?U)[\s\x1c-\x1f]"
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, even where a lambda of body looks at it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
@@ -60,9 +65,13 @@ def content_hash(text: Column) -> Column:
 
 def shingles(text: Column, n: int = 3) -> Column:
     """Distinct shingles of n words of the normalized text; of fewer words one shingle, of none nothing."""
-    t = F.filter(F.split(normalized(text), " "), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
-    return F.when(F.size(t) > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    tokens = F.filter(F.split(normalized(text), " "), lambda w: w != "")
+
+    def grams(t: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) > 0, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -72,8 +81,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def snippet(text: Column, query: Column, width: int = SNIPPET_WIDTH) -> Column:
     """A window of `width` characters that begins a third of it before the first hit of any query token."""
-    low = F.lower(text)
-    hits = F.filter(F.transform(query_tokens(query), lambda t: F.instr(low, t)), lambda p: p > 0)
+    hits = let(F.lower(text), lambda low: F.filter(F.transform(query_tokens(query), lambda t: F.instr(low, t)), lambda p: p > 0))
     first = F.coalesce(F.array_min(hits) - 1, F.lit(0))
     start = F.greatest(first - width // 3, F.lit(0))
     end = F.least(start + width, F.length(text))
@@ -116,8 +124,7 @@ def markdown_title(body: Column) -> Column:
 def humanize(slug: Column) -> Column:
     """As str.title of the slug with blanks: a letter is a capital where no letter is before it."""
     plain = strip(F.translate(slug, "-_", "  "))
-    letters = F.split(F.lower(plain), "")
-    return F.array_join(F.transform(letters, lambda c, i: F.when((i == 0) | ~F.get(letters, i - 1).rlike(r"\p{L}"), F.upper(c)).otherwise(c)), "")
+    return let(F.split(F.lower(plain), ""), lambda letters: F.array_join(F.transform(letters, lambda c, i: F.when((i == 0) | ~F.get(letters, i - 1).rlike(r"\p{L}"), F.upper(c)).otherwise(c)), ""))
 
 
 def page_url(base: str, rel: Column) -> Column:
@@ -142,7 +149,9 @@ def json_list(value: Column) -> Column:
 def hard_split(text: Column, budget: int = BUDGET) -> Column:
     """Parts of a text without structure: itself, stripped, within the budget; else runs of words joined by one blank."""
     size = max(1, int(budget / TOKENS_PER_WORD))
-    w = words(text)
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size)), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
-    parts = F.when(token_estimate(text) <= budget, F.array(strip(text))).otherwise(runs)
-    return F.filter(parts, lambda p: p != "")
+
+    def split(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size)), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+        return F.when(F.greatest(F.lit(1), F.floor(F.size(w) * F.lit(TOKENS_PER_WORD)).cast("int")) <= budget, F.array(strip(text))).otherwise(runs)
+
+    return F.filter(let(words(text), split), lambda p: p != "")

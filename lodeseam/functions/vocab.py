@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodeseam.functions.text import SPACE, strip
+from lodeseam.functions.text import SPACE, let, strip
 
 # Fixed values, in natural order.
 SERVICES = ["smb", "ldap", "kerberos", "winrm", "rdp", "mssql", "mysql", "postgres", "nginx", "apache", "iis", "ssh", "ftp", "dns", "smtp", "rpc", "nfs", "active directory", "adcs", "jenkins", "tomcat", "wordpress"]
@@ -18,9 +18,8 @@ VOCABULARY = {"service": SERVICES, "technique": TECHNIQUES, "tool": TOOLS}
 
 def found_terms(text: Column, terms: list[str]) -> Column:
     """Sorted distinct terms that occur in the lower-cased text, as substrings."""
-    low = F.lower(F.coalesce(text, F.lit("")))
     literal = F.array(*map(F.lit, sorted(set(terms)))) if terms else F.array().cast("array<string>")
-    return F.filter(literal, lambda t: F.contains(low, t))
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.filter(literal, lambda t: F.contains(low, t)))
 
 
 def signals(text: Column, vocabulary: dict[str, list[str]] | None = None) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseam.functions import vocab
-from lodeseam.functions.text import jaccard, query_tokens, shingles
+from lodeseam.functions.text import jaccard, let, query_tokens, shingles
 from lodeseam.operators.lexical import TIE_DIGITS, bm25, top
 from lodeseam.operators.vector import cosine_hits
 
@@ -48,8 +48,9 @@ def heading_text(title: Column, path: Column) -> Column:
 
 def keyword_overlap(query: Column, title: Column, path: Column) -> Column:
     """Share of the distinct query tokens that occur in title and headings, as substrings."""
-    tokens, hay = query_tokens(query), F.lower(heading_text(title, path))
-    return F.when(F.size(tokens) > 0, F.size(F.filter(tokens, lambda t: F.contains(hay, t))) / F.greatest(F.size(tokens), F.lit(1))).otherwise(0.0)
+    tokens = query_tokens(query)
+    met = let(F.lower(heading_text(title, path)), lambda hay: F.size(F.filter(tokens, lambda t: F.contains(hay, t))))
+    return F.when(F.size(tokens) > 0, met / F.greatest(F.size(tokens), F.lit(1))).otherwise(0.0)
 
 
 def authority_factor(authority: Column) -> Column:
