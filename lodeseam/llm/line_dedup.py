@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm.common import BLANKS, fresh, hash128
+from lodeseam.llm.common import BLANKS, fresh, hash128, staged
 
 
 def _folded(line: Column) -> Column:
@@ -51,6 +51,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.col(n) >= min_docs)
         .drop(n)
     )
+    often = staged(often, "lines")  # a table of known size: broadcast if small, else joined by shuffles that can be split
     drops = (
         keyed.join(often, [h1, h2])
         .where(F.col(keep) != F.col(last))
