@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named if re.match(r"\w+:/", named) else f"file://{named}"
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts, so that a worker holds Python copies of a few rows only; memory goes back at the end."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, rows):
+            yield batch.slice(s, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends here, and any executor can go."""
     spark = df.sparkSession
@@ -51,6 +61,19 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share(column: Column) -> Column:
+    """A hash of the column, from 0 up to 1."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << 53)) / float(1 << 53)
+
+
+def smallest_hashes(ids: DataFrame, n: int) -> DataFrame:
+    """The distinct ids of the n smallest hashes. Most rows are left out before anything is sorted or sent, whatever the size."""
+    (c,) = ids.columns
+    total = ids.count()
+    few = ids.where(F.col(c).isNotNull() & (share(F.col(c)) <= min(1.0, 4 * n / max(1, total)))).distinct()
+    return few.orderBy(share(F.col(c)), c).limit(n)
+
+
 def hash128(*columns: Column) -> list[Column]:
     """Two independent 64-bit hashes."""
     return [F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)]

@@ -7,9 +7,9 @@
 3. Nodes of one class end. Nodes of LIMIT classes or fewer are compared exhaustively, on sketches of the minwise tokens;
    larger ones branch on. What has not split at the last depth is a dense group: it is compared in pairs of blocks of
    BLOCK classes, so no task holds a whole group.
-4. Links are confirmed on full sets. A comparison does not give all its pairs: the first round gives each class its best
-   partner and its best-connected one, a second one the best pair of any two components found so far, a last one all
-   pairs that are still between two components. A pair within one component can change nothing.
+4. Of a node's candidate pairs only a spanning forest leaves it: enough to know which classes may belong together. In each
+   such family, again in pairs of blocks, links are confirmed on full sets, likeliest pairs first; a pair that its block
+   already knows to be connected needs no look, and again only a spanning forest leaves the task.
 """
 
 from __future__ import annotations
@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm.common import fresh, staged
+from lodeseam.llm.common import fresh, sliced, staged
 
 K, LIMIT, BLOCK = 128, 64, 512
 #: Sketch matches that a linked pair has but for once in about a million, for a threshold t: t less so many deviations.
 DEVIATIONS = 4.7
 #: A side of a join up to so many rows of two numbers is broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
+#: Edges that one task of a contraction round takes.
+EDGES_A_TASK = 100_000
 
 _R = np.random.default_rng(64)
 _PLACE = _R.integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,7 +153,7 @@ def _branch(threshold: float):
 
 def _describe(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             size, h1, h2, tokens, low = [], [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), n):
                 a, b = set_hashes(s)
@@ -166,7 +168,7 @@ def _describe(n: int):
     return run
 
 
-def _pairs_in(keys, blocks, apart, labels, sketches, sizes, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs_in(keys, blocks, apart, sketches, sizes, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows i < j of equal key whose sketches may be linked, and the share of coordinates that agree."""
     least = int(np.floor(K * (threshold - DEVIATIONS * (threshold * (1 - threshold) / K) ** 0.5)))
     found = []
@@ -175,7 +177,7 @@ def _pairs_in(keys, blocks, apart, labels, sketches, sizes, threshold: float) ->
         if not same.any():
             break
         small, large = np.minimum(sizes[:-d], sizes[d:]), np.maximum(sizes[:-d], sizes[d:])
-        i = np.flatnonzero(same & (labels[:-d] != labels[d:]) & (~apart[:-d] | (blocks[:-d] != blocks[d:])) & (small >= threshold * large - 1e-9))
+        i = np.flatnonzero(same & (~apart[:-d] | (blocks[:-d] != blocks[d:])) & (small >= threshold * large - 1e-9))
         if len(i):
             match = np.count_nonzero(sketches[i] == sketches[i + d], axis=1)
             ok = match >= least
@@ -185,76 +187,92 @@ def _pairs_in(keys, blocks, apart, labels, sketches, sizes, threshold: float) ->
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _compare(threshold: float, how: str):
-    """how: `first` gives each row (a) its best partner and its best-connected one (b), with a rank; else all pairs a < b."""
-
-    def give(rows: list) -> Iterator[pa.RecordBatch]:
-        keys, v, blocks, apart, labels, sizes, sketches = (np.concatenate(x) for x in zip(*rows, strict=True))
-        i, j, match = _pairs_in(keys, blocks, apart, labels, sketches, sizes, threshold)
-        if not len(i):
-            return
-        if how == "first":
-            a, b, m = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([match, match])
-            degree = np.bincount(a, minlength=len(keys))
-            out = []
-            for rank, hub in ((m, 0), (degree[b] * 256 + m, 1)):
-                order = np.lexsort((v[b], -rank, a))
-                best = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])]
-                out.append((v[a[best]], v[b[best]], rank[best], np.full(len(best), hub)))
-            a, b, rank, hub = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, rank, hub)], names=["a", "b", "rank", "kind"])
-        else:
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (np.minimum(v[i], v[j]), np.maximum(v[i], v[j]), match, np.where(v[i] < v[j], labels[i], labels[j]), np.where(v[i] < v[j], labels[j], labels[i]))], names=["a", "b", "rank", "la", "lb"])
+def _forest(n: int, i: np.ndarray, j: np.ndarray, match: np.ndarray, linked=None) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of n rows, from the pairs in order of match; `linked`, if given, is asked before two trees join."""
+    root, a, b = np.arange(n), [], []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    order = np.argsort(-match, kind="stable")
+    for s in range(0, len(order), 2048):
+        part = order[s : s + 2048]
+        while (root != root[root]).any():
+            root = root[root]
+        for k in part[root[i[part]] != root[j[part]]].tolist():
+            x, y = top(int(i[k])), top(int(j[k]))
+            if x != y and (linked is None or linked(int(i[k]), int(j[k]))):
+                root[max(x, y)] = min(x, y)
+                a.append(int(i[k]))
+                b.append(int(j[k]))
+    return a, b
+
+
+def _linked_sets(shingles: list[bytes], threshold: float):
+    sets, t = {}, round(threshold * 1_000_000)
+
+    def linked(i: int, j: int) -> bool:
+        for k in (i, j):
+            if k not in sets:
+                sets[k] = np.frombuffer(shingles[k], np.uint64)
+        x, y = sets[i], sets[j]
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both * 1_000_000 >= t * (len(x) + len(y) - both)
+
+    return linked
+
+
+def _compare(threshold: float, full: bool):
+    """Edges (a, b) of spanning forests of what each key holds: of pairs whose sketches may be linked or, with full sets, are linked."""
+    columns = ("v", "block", "apart", "size")
+
+    def give(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        key = rows.column("key").to_numpy()
+        v, blocks, apart, sizes = (rows.column(c).to_numpy() for c in columns)
+        i, j, match = _pairs_in(key, blocks, apart, _matrix(rows.column("sketch"), K, np.uint8), sizes, threshold)
+        if len(i):
+            linked = _linked_sets(rows.column("shingles").to_pylist(), threshold) if full else None
+            a, b = _forest(len(key), i, j, match, linked)
+            if a:
+                x, y = v[a], v[b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        n = 0
+        held: list[pa.RecordBatch] = []  # rows of the last key so far
         for whole in batches:
-            for s in range(0, whole.num_rows, 2048):
-                batch = whole.slice(s, 2048)
-                rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "v", "block", "apart", "label", "size")] + [_matrix(batch.column("sketch"), K, np.uint8)]
-                if held and n and held[-1][0][-1] != rows[0][0]:
+            for s in range(0, whole.num_rows, 1024):
+                batch = whole.slice(s, 1024)
+                key = batch.column("key").to_numpy()
+                if held and held[-1].column("key")[-1].as_py() != key[0]:
                     yield from give(held)
-                    held, n = [], 0
-                start = int(np.searchsorted(rows[0], rows[0][-1])) if rows[0][0] != rows[0][-1] else 0
-                if start:  # all but the last group is whole
-                    yield from give([*held, [x[:start] for x in rows]])
-                    held, n = [], 0
-                held.append([x[start:] for x in rows])
-                n += len(rows[0]) - start
+                    held = []
+                if start := int(np.searchsorted(key, key[-1])):  # all but the last key is whole
+                    yield from give([*held, batch.slice(0, start)])
+                    held = []
+                held.append(batch.slice(start))
         if held:
             yield from give(held)
 
     return run
 
 
-def _confirm(threshold: float):
-    t = round(threshold * 1_000_000)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both * 1_000_000 >= t * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
 def components(edges: DataFrame) -> DataFrame:
     """v, root for every vertex of edges (a, b). Each round joins a vertex to its neighbour of the smallest hash, anew each
     time, and contracts; the edges shrink by a constant factor whatever their shape. Nothing comes to the driver."""
     spark = edges.sparkSession
     labels, e, r = spark.createDataFrame([], "v long, root long"), edges, 0
-    while not e.isEmpty():
+    while left := e.count():
+        tasks = 1 + left // EDGES_A_TASK  # the edges shrink from round to round, and so do the tasks that hold them
         both = e.union(e.select("b", "a")).toDF("a", "b")
         near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(r), "b").alias("h"), F.col("b").alias("to"))).alias("m"))
-        p = staged(near.select(F.col("a").alias("p"), F.when(F.col("m.h") < F.xxhash64(F.lit(r), "a"), F.col("m.to")).otherwise(F.col("a")).alias("to")), "near")
+        p = staged(near.select(F.col("a").alias("p"), F.when(F.col("m.h") < F.xxhash64(F.lit(r), "a"), F.col("m.to")).otherwise(F.col("a")).alias("to")).coalesce(tasks), "near")
         labels = p.toDF("v", "root") if r == 0 else staged(labels.join(p, F.col("root") == F.col("p"), "left").select("v", F.coalesce("to", "root").alias("root")), "labels")
         e = e.join(p.toDF("a", "ta"), "a").join(p.toDF("b", "tb"), "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
-        e, r = staged(e, "contracted"), r + 1
+        e, r = staged(e.coalesce(tasks), "contracted"), r + 1
     return labels
 
 
@@ -301,26 +319,28 @@ def _nodes(reps: DataFrame, depth: int, last: int, trees: int, threshold: float)
         depth += 1
 
 
-def _blocks(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """rows (node, v, n, label) with sketches, dealt to pairs of blocks and sorted."""
+def _blocks(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows (key, v, n) with facts of v, dealt to pairs of blocks and sorted by key; up to BLOCK rows of a key stay one block."""
     count = F.ceil(F.col("n") / F.lit(BLOCK))
-    full = rows.join(sketches, "v").withColumn("block", F.pmod(F.xxhash64("v", "node"), count)).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    full = full.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "v", "block", (F.col("block") != F.col("other")).alias("apart"), "label", "size", "sketch")
+    full = rows.join(facts, "v").withColumn("block", F.pmod(F.xxhash64("v", "key"), count)).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    full = full.select(pair.alias("key"), "v", "block", (F.col("block") != F.col("other")).alias("apart"), *(c for c in facts.columns if c != "v"))
     return full.repartition("key").sortWithinPartitions("key")
 
 
 def _linked(docs: DataFrame, reps: DataFrame, nodes: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    spark, sketches = docs.sparkSession, reps.select("v", "size", "sketch")
-    first = staged(_blocks(nodes.withColumn("label", F.col("v")), sketches).mapInArrow(_compare(threshold, "first"), "a long, b long, rank long, kind long").groupBy("a", "kind").agg(F.max_by("b", F.struct("rank", "b")).alias("b")), "first")
-    if first.isEmpty():
-        return spark.createDataFrame([], "v long, root long")
-    active = staged(first.select(F.col("a").alias("v")).distinct(), "active")
-    few = active.count() <= BROADCAST_ROWS
+    """v, root of all classes that are linked with another."""
+    sketches = reps.select("v", "size", "sketch")
+    maybe = staged(_blocks(nodes.withColumnRenamed("node", "key"), sketches).mapInArrow(_compare(threshold, False), "a long, b long").distinct(), "maybe")
+    families = components(maybe)
+    if families.isEmpty():
+        return families
+    few = families.count() <= BROADCAST_ROWS
     near = lambda df: F.broadcast(df) if few else df
-    wanted = reps.select("v", "id").join(near(active), "v")
+    wanted = reps.select("v", "id").join(near(families), "v").select("v", "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             want, v, out = batch.column("v").to_pylist(), [], []
             for k, s in enumerate(shingle_sets(batch.column("text").to_pylist(), shingle)):
                 if set_hashes(s)[0] == want[k]:  # else another text of the same id
@@ -328,29 +348,11 @@ def _linked(docs: DataFrame, reps: DataFrame, nodes: DataFrame, shingle: int, th
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(out, pa.binary())], names=["v", "shingles"])
 
-    full = docs.join(near(wanted), "id").select("v", "text").mapInArrow(sets, "v long, shingles binary")
-    full = staged(full.dropDuplicates(["v"]), "shingles")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return pairs.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(threshold), "a long, b long")
-
-    edges = staged(confirmed(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "edges")
-    labels = components(edges)
-    dense = nodes.join(active, "v", "left_semi")
-    for last in (False, True):
-        named = dense.join(labels, "v", "left").select("node", "v", F.coalesce("root", "v").alias("label"))
-        live = named.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node", "n")
-        found = _blocks(named.join(live, "node"), sketches).mapInArrow(_compare(threshold, "all"), "a long, b long, rank long, la long, lb long")
-        if last:
-            found = found.select("a", "b").distinct()
-        else:
-            pair = F.struct("rank", "a", "b")
-            found = found.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(F.max(pair).alias("p")).select("p.a", "p.b")
-        more = staged(confirmed(found.join(edges, ["a", "b"], "left_anti")), "edges")
-        if not more.isEmpty():
-            edges = edges.union(more)
-            labels = components(edges)
-    return labels
+    full = docs.join(near(wanted), "id").select("v", "text").mapInArrow(sets, "v long, shingles binary").dropDuplicates(["v"])
+    sizes = families.groupBy("root").agg(F.count("*").alias("n"))
+    rows = families.join(sizes, "root").select(F.col("root").alias("key"), "v", "n")
+    links = _blocks(rows, sketches.join(full, "v")).mapInArrow(_compare(threshold, True), "a long, b long")
+    return components(staged(links.distinct(), "links"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
