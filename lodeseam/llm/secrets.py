@@ -12,7 +12,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm.common import fresh
+from lodeseam.llm.common import fresh, smallest_hashes
 from lodeseam.llm.spans import located, matches, overlap, tagged
 
 # fixed values: the patterns of the base spans
@@ -34,7 +34,8 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256)
     forms = F.array(digest, F.regexp_replace(F.base64(F.unhex(digest)), "=", ""), F.upper(F.substring(F.regexp_replace(F.base64(F.unhex(digest)), "[^A-Za-z0-9]", ""), 1, 20)))
     positive = spark.range(strings).select(F.explode(forms).alias("value"), F.lit(True).alias("random"))
-    some = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.substring(text_col, 1, 4000).alias("t")).orderBy(F.xxhash64("id"), "t").limit(documents)
+    ids = smallest_hashes(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id")), documents)
+    some = docs.select(F.col(id_col).alias("id"), F.substring(text_col, 1, 4000).alias("t")).join(F.broadcast(ids), "id").groupBy("id").agg(F.min("t").alias("t"))
     words = F.array_distinct(F.regexp_extract_all("t", F.lit("[A-Za-z]{4,}"), F.lit(0)))
     joined = F.transform(F.col("w"), lambda x, i: F.when(i % 3 == 0, F.concat(x, F.lit("_"), F.element_at("w", -1))).when(i % 3 == 1, F.concat(F.lower(x), F.initcap(F.element_at("w", 1)))).otherwise(x))
     negative = some.select(words.alias("w")).where(F.size("w") > 0).select(F.explode(joined).alias("value"), F.lit(False).alias("random"))
