@@ -39,7 +39,7 @@ def cosine_hits(vectors: DataFrame, queries: DataFrame, limit: int, id_col: str
     if wanted is None:
         raise ValueError(f"more than {BROADCAST_QUERIES} query vectors: pass them in blocks")
     ids = [r.query_id for r in wanted]
-    matrix = np.array([r.vector for r in wanted], dtype=np.float64).reshape(len(ids), -1)
+    matrix = np.array([r.vector for r in wanted], dtype=np.float64).reshape(len(ids), -1) if ids else np.zeros((0, 0))
     kind = dict(vectors.dtypes)[id_col]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
