@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodeseam.llm.common import sliced
 from lodeseam.llm.encoders import ChunkCache, WordEncoder
 
 WINDOW = 16
@@ -99,7 +100,7 @@ def encode_chunked(docs: DataFrame, encoder: WordEncoder, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ChunkedCoder(encoder, cache_bytes)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             out, size, first = [], 0, 0
             for k, text in enumerate(texts):

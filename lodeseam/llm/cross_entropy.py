@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseam.llm.common import fresh
+from lodeseam.llm.common import fresh, sliced
 from lodeseam.llm.decontaminate import words_of
 
 #: The size of a model: words of the shared vocabulary, places for pair counts (a power of two).
@@ -36,7 +36,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 found.update(words_of(text))
                 if len(found) > held:
@@ -92,7 +92,7 @@ def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sums = shared.value, np.zeros((2, places + 1 + v), np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for target, text in zip(batch.column("target").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = words_of(text)
                 if not found:
@@ -121,7 +121,7 @@ def score(docs: DataFrame, models: SharedModels, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(models)  # size fixed by VOCABULARY and SLOTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 found = words_of(text)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseam.llm.common import WORD_BYTES, fresh, sha
+from lodeseam.llm.common import WORD_BYTES, fresh, sha, sliced
 
 #: An automaton holds at most so many item words; more items make more automata, which documents pass in turn.
 BLOCK_WORDS = 200_000
@@ -172,7 +172,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
         def scan(batches: Iterator[pa.RecordBatch], shared=shared, first=k == 0) -> Iterator[pa.RecordBatch]:
             automaton: SuffixAutomaton = shared.value
             kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
-            for batch in batches:
+            for batch in sliced(batches):
                 rows = []
                 before = None if first else batch.column("found")
                 for i, text in enumerate(batch.column(text_col)):
@@ -208,7 +208,7 @@ def remove_contamination(docs: DataFrame, items: DataFrame, text_col: str = "tex
     hit = F.col("found.n_hit")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.names.index(text_col)
             texts = []
             for text, f in zip(batch.column(at).to_pylist(), batch.column("found").to_pylist(), strict=True):

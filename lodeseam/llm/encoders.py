@@ -55,19 +55,23 @@ class _Encoder:
         tokenizer.no_padding()
         return tokenizer
 
-    @cached_property
     def file(self) -> dict:
+        """Read anew each time: it is large, and only what is built from it stays."""
         with open(self.path, encoding="utf-8") as f:
             return json.load(f)
 
+    @cached_property
+    def special(self) -> dict[str, int]:
+        return {t["content"]: t["id"] for t in self.file()["added_tokens"]}
+
     @cached_property
     def unusual(self) -> re.Pattern:
-        special = "|".join(re.escape(t["content"]) for t in self.file["added_tokens"])
+        special = "|".join(map(re.escape, self.special))
         return re.compile(rf"[^\x00-˿]|{special}" if special else r"[^\x00-˿]")
 
     @property
     def vocabulary(self) -> int:
-        return self.library.get_vocab_size(with_added_tokens=True)
+        return max([*self.file()["model"]["vocab"].values(), *self.special.values()]) + 1
 
     def _exact(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -83,8 +87,8 @@ class ByteEncoder(_Encoder):
     def _cores(self):
         import tiktoken
 
-        alphabet, special = _alphabet(), {t["content"] for t in self.file["added_tokens"]}
-        ranks = {bytes(alphabet[c] for c in token): k for token, k in self.file["model"]["vocab"].items() if token not in special}
+        alphabet = _alphabet()
+        ranks = {bytes(alphabet[c] for c in token): k for token, k in self.file()["model"]["vocab"].items() if token not in self.special}
         # fixed values: the file format's word pattern, without the look-ahead that only longer white space needs
         short = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
         full = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -115,10 +119,10 @@ class WordEncoder(_Encoder):
     def _core(self):
         import tiktoken
 
-        alphabet, special = _alphabet(), {t["content"] for t in self.file["added_tokens"]}
-        end, ranks = self.file["model"]["end_of_word_suffix"], {}
-        for token, k in self.file["model"]["vocab"].items():
-            if token in special:
+        alphabet, model, ranks = _alphabet(), self.file()["model"], {}
+        end = model["end_of_word_suffix"]
+        for token, k in model["vocab"].items():
+            if token in self.special:
                 continue
             whole = len(token) > len(end) and token.endswith(end)
             ranks[bytes(alphabet[c] for c in (token[: -len(end)] if whole else token)) + self.MARK.encode() * whole] = k
@@ -145,9 +149,11 @@ class WordEncoder(_Encoder):
 
     def decode_table(self) -> tuple[list[bytes], bytes]:
         """UTF-8 of each id's token, and what the library puts between tokens: a file without a decoder gets spaces."""
-        if self.file["decoder"] is not None:
+        file = self.file()
+        if file["decoder"] is not None:
             raise ValueError("only files without a decoder")
-        return [self.library.id_to_token(k).encode() for k in range(self.vocabulary)], b" "
+        tokens = {k: t.encode() for t, k in (file["model"]["vocab"] | self.special).items()}
+        return [tokens.get(k, b"") for k in range(max(tokens) + 1)], b" "
 
 
 class ChunkCache:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseam.llm.common import fresh
+from lodeseam.llm.common import fresh, share, sliced
 
 WINDOW, DEPTH, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
 #: Bounds of the labelled sample: documents of each language, windows of each document, languages.
@@ -150,9 +150,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit a net on a bounded sample of labelled rows that are not held out: of the SAMPLE_LANGS most frequent languages the
     docs_per_lang documents of the smallest id hash, and of each the windows that start at even distances in its text."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where(~held_out(id_col="id") & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull())
-    langs = sorted(r.lang for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGS).collect())
-    ranked = d.select("id", "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
-    ids = [r.id for r in ranked.where((F.col("r") <= docs_per_lang) & F.col("lang").isin(langs)).select("id").collect()]
+    counts = {r.lang: r["count"] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGS).collect()}
+    # of a language's documents only about four times as many as are wanted are ranked, however many there are
+    most = F.try_element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * docs_per_lang / n)))), F.col("lang")) if counts else F.lit(None)
+    ranked = d.select("id", "lang").where(share(F.col("id")) <= most).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(share(F.col("id")), "id")))
+    ids = [r.id for r in ranked.where(F.col("r") <= docs_per_lang).select("id").collect()]
     cut = [F.substring("text", (F.greatest(F.length("text") - WINDOW, F.lit(0)) * (k / max(1, windows_per_doc - 1))).cast("int") + 1, F.lit(WINDOW)) for k in range(windows_per_doc)]
     sample = d.where(F.col("id").isin(ids)).select("id", "lang", F.array_distinct(F.array(*cut)).alias("parts")).dropDuplicates(["id"]) if ids else d.limit(0).select("id", "lang", F.array().cast("array<string>").alias("parts"))
     rows = sorted((r.lang, r.id, p) for r in sample.collect() for p in r.parts if LETTER.search(p))
@@ -176,7 +178,7 @@ def identify(docs: DataFrame, net: ByteConvNet, text_col: str = "text") -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             langs, scores = shared.value.predict(batch.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 

@@ -22,7 +22,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm.common import fresh, shared_dir
+from lodeseam.llm.common import fresh, shared_dir, sliced
 from lodeseam.llm.encoders import ByteEncoder
 
 BLOCK = 8192
@@ -168,7 +168,7 @@ def write_token_files(docs: DataFrame, folder: str, encoder: ByteEncoder, end_id
 
         rank, writer = TaskContext.get().partitionId(), None
         path = f"{folder}/tokens-{rank:06d}.lstk"
-        for batch in batches:
+        for batch in sliced(batches):
             writer = writer or TokenFileWriter(path, bits)
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encoder.encode(x or "")
