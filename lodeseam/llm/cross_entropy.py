@@ -1,22 +1,30 @@
 """LM scoring by cross-entropy difference.
 
-Two bigram models share one vocabulary, the most frequent words of the corpus, and differ only in what they count: the target
-model the documents of a target set, the background model all documents. A token's score is its loss under the target
-less its loss under the background; a document's is the mean. Low scores are like the target.
+Two bigram models share one vocabulary, all words of the corpus, and differ only in what they count: the target model the
+documents of a target set, the background model all documents. A token's score is its loss under the target less its loss
+under the background; a document's is the mean. Low scores are like the target.
 
 A model interpolates: half the share of the pair among its first word's pairs, half the word's own share with half a count
-added to each. Pair counts share SLOTS places by hash, in both models alike, so a model's size is fixed while its counts
-are of the whole corpus. Counts are summed by place with partial sums before the shuffle.
+added to each. Every word and every pair has a count of its own, known by a 128-bit hash; the counts grow with the corpus and
+are nowhere held whole. Documents go in blocks: a block's distinct words and pairs, with their counts in it, are sent to the
+part their hash names, summed there, and the sums go back to the block, whose documents are scored then. A frequent pair is
+thus one entry a block, however often it occurs, and the number of parts follows the number of tokens.
+
+With `size` and `places`, train() makes models of a bounded size instead: the most frequent words, and pair counts that share
+places by hash. These are approximations.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from hashlib import blake2b
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +32,10 @@ from pyspark.sql import types as T
 from lodeseam.llm.common import fresh, sliced
 from lodeseam.llm.decontaminate import words_of
 
-#: The size of a model: words of the shared vocabulary, places for pair counts (a power of two).
+#: The size of a bounded model where only one of the two is given: words of its vocabulary, places for pair counts (a power of two).
 VOCABULARY, SLOTS = 32_768, 1 << 21
+#: Tokens of a block (a longer document is a block of its own), and tokens of the corpus for each part of the counts.
+BLOCK_TOKENS, PART_TOKENS = 2_000_000, 2_000_000
 #: A target set up to so many ids is broadcast, a larger one is joined by shuffle.
 BROADCAST_IDS = 2_000_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -80,14 +90,241 @@ class SharedModels:
         return -np.log(0.5 * shared + 0.5 * own)
 
 
-def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY, places: int = SLOTS) -> SharedModels:
+@dataclass(frozen=True)
+class CorpusCounts:
+    """The corpus a score is relative to, its target documents marked, and the totals of target (0) and background (1). Words and
+    pairs are counted by score(), where they meet the documents that ask for them."""
+
+    docs: DataFrame  # as given to train()
+    marked: DataFrame  # id, text, target
+    n_words: int  # distinct words
+    tokens: tuple[int, int]
+    texts: tuple[int, int]  # texts with tokens, so pairs that begin with the start
+
+
+class _Numbers(dict):
+    """Numbers of words, in order of their first occurrence."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class _Block:
+    """Documents in a row, up to BLOCK_TOKENS tokens."""
+
+    def __init__(self) -> None:
+        self.words, self.x, self.lengths, self.flags, self.ids = _Numbers(), [], [], [], []
+
+    def add(self, text: str | None, flag: bool) -> None:
+        found = words_of(text)
+        self.x.append(np.fromiter(map(self.words.__getitem__, found), np.uint32, len(found)))
+        self.lengths.append(len(found))
+        self.flags.append(flag)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs, and counts of words and then pairs in target and all documents."""
+        x, lengths, w = np.concatenate(self.x).astype(np.int64), np.array(self.lengths), len(self.words)
+        codes, chosen = _codes(x, lengths, w), np.repeat(np.array(self.flags, bool), lengths)
+        pairs, n = np.unique(codes, return_counts=True)
+        some, m = np.unique(codes[chosen], return_counts=True)
+        t = np.zeros(len(pairs), np.int64)
+        t[np.searchsorted(pairs, some)] = m
+        return pairs, np.concatenate([np.bincount(x[chosen], minlength=w), t]), np.concatenate([np.bincount(x, minlength=w), n])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[_Block]:
+    """Of batches with id, text and target."""
+    block, held = _Block(), 0
+    for batch in sliced(batches):
+        begun = 0
+        for k, (text, flag) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            block.add(text, flag)
+            held += block.lengths[-1]
+            if held >= most:
+                block.ids.append(batch.column(0).slice(begun, k + 1 - begun))
+                yield block
+                block, held, begun = _Block(), 0, k + 1
+        if begun < batch.num_rows:
+            block.ids.append(batch.column(0).slice(begun))
+    if block.lengths:
+        yield block
+
+
+def _codes(x: np.ndarray, lengths: np.ndarray, w: int) -> np.ndarray:
+    """Numbers of pairs of w words; the word before the first is 0, the others are one more than their numbers."""
+    before = np.concatenate([[0], x[:-1] + 1])[: len(x)]
+    first = np.cumsum(lengths) - lengths
+    before[first[lengths > 0]] = 0
+    return before * w + x
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def _keys(hashes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """One half of the keys of words and then pairs, from that half of the hashes of the start and the words."""
+    w = max(1, len(hashes) - 1)
+    return np.concatenate([hashes[1:], _mixed(_mixed(hashes[pairs // w]) * _MULTIPLY + hashes[1:][pairs % w])])
+
+
+def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of the keys by part, and (part, from, to) in it."""
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    present, begin = np.unique(part[order], return_index=True)
+    return order, list(zip(present.tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)][: len(present)], strict=True))
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the fewest of 1, 2, 4 or 8 bytes that hold all of them."""
+    most = int(counts.max(initial=0))
+    return counts.astype(next(d for d in ("<u1", "<u2", "<u4", "<u8") if most <= np.iinfo(d).max)).tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64)
+
+
+#: What moves between blocks and parts: entries have keys and counts, a block's own row has what its scores need.
+_SENT = {"part": pa.int32(), "home": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "t": pa.binary(), "b": pa.binary(), "tokens": pa.binary(), "lengths": pa.binary(), "hashes": pa.binary(), "ids": pa.binary()}
+_SENT_SCHEMA = "part int, home int, block long, " + ", ".join(f"{c} binary" for c in list(_SENT)[3:])
+
+
+def _rows(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kind) for c, kind in _SENT.items()], names=list(_SENT))
+
+
+def _sender(parts: int, counted: bool, asking: bool, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Entries of blocks for their parts: `counted` with the counts in the block, `asking` with a block number to send sums to."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for k, block in enumerate(_blocks(batches, most)):
+            pairs, t, b = block.counts()
+            hashes = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in (b"", *block.words)), "<u8").reshape(-1, 2)
+            keys = np.stack([_keys(hashes[:, h], pairs) for h in (0, 1)], axis=1)
+            order, slices = _dealt(keys[:, 0], parts)
+            keys, t, b = keys[order], t[order], b[order]
+            place = {"home": (task + 7919 * k) % parts, "block": task << 32 | k} if asking else {}
+            if asking:
+                ids = pa.concat_arrays(block.ids)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as out:
+                    out.write_batch(pa.RecordBatch.from_arrays([ids], names=["id"]))
+                own = {"tokens": np.concatenate(block.x).tobytes(), "lengths": np.array(block.lengths, np.int64).tobytes(), "hashes": hashes[:, 0].tobytes(), "ids": sink.getvalue().to_pybytes()}
+                yield _rows([place | {"part": place["home"]} | own])
+            for s in range(0, len(slices), 256):
+                yield _rows([place | {"part": p, "keys": keys[i:j].tobytes()} | ({"t": _packed(t[i:j]), "b": _packed(b[i:j])} if counted else {}) for p, i, j in slices[s : s + 256]])
+
+    return send
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part: the sums for each block's entries, in their order; rows of blocks as they are."""
+    keys, t, b, asked, n = [], [], [], [], 0
+    for batch in batches:
+        for r in range(batch.num_rows):
+            row = {c: batch.column(c)[r].as_py() for c in _SENT}
+            if row["tokens"] is not None:
+                yield _rows([row])
+                continue
+            own = np.frombuffer(row["keys"], "<u8").reshape(-1, 2)
+            keys.append(own)
+            for held, c in ((t, "t"), (b, "b")):
+                held.append(np.zeros(len(own), np.int64) if row[c] is None else _unpacked(row[c], len(own)))
+            if row["block"] is not None:
+                asked.append(({c: row[c] for c in ("part", "home", "block")}, n, n + len(own)))
+            n += len(own)
+    if not asked:
+        return
+    every = np.concatenate(keys)
+    keys.clear()
+    order = np.lexsort((every[:, 1], every[:, 0]))
+    every = every[order]
+    first = np.concatenate([[True], (every[1:] != every[:-1]).any(axis=1)])
+    begin, at = np.flatnonzero(first), np.empty(n, np.int64)
+    at[order] = np.cumsum(first) - 1
+    sums = [np.add.reduceat(np.concatenate(c)[order], begin) for c in (t, b)]
+    for place, i, j in asked:
+        yield _rows([place | {"t": _packed(sums[0][at[i:j]]), "b": _packed(sums[1][at[i:j]])}])
+
+
+def _scorer(model: tuple[int, tuple[int, int], tuple[int, int]], parts: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    n_words, tokens, texts = model
+
+    def scored(own: dict, sums: dict[int, tuple[bytes, bytes]]) -> pa.RecordBatch:
+        x, lengths, hashes = (np.frombuffer(own[c], d) for c, d in (("tokens", "<u4"), ("lengths", "<i8"), ("hashes", "<u8")))
+        w = len(hashes) - 1
+        pairs, at = np.unique(_codes(x.astype(np.int64), lengths, w), return_inverse=True)
+        order, slices = _dealt(_keys(hashes, pairs), parts)
+        if set(sums) != {p for p, _, _ in slices}:
+            raise RuntimeError("a block's sums are of other parts than it asked")
+        means, some = [], np.flatnonzero(lengths)
+        for k in (0, 1):
+            counts = np.zeros(len(order), np.int64)
+            for p, i, j in slices:
+                counts[order[i:j]] = _unpacked(sums[p][k], j - i)
+            single, heads = counts[:w], np.concatenate([[texts[k]], counts[:w]])
+            mean = np.zeros(len(lengths))
+            if len(some):
+                share = counts[w:] / np.maximum(heads[pairs // w], 1)
+                loss = -np.log(0.5 * share + 0.5 * (single[pairs % w] + 0.5) / (tokens[k] + 0.5 * (n_words + 1)))
+                mean[some] = np.add.reduceat(loss[at], (np.cumsum(lengths) - lengths)[some]) / lengths[some]
+            means.append(mean)
+        ids = pa.ipc.open_stream(own["ids"]).read_all().column(0).combine_chunks()
+        return pa.RecordBatch.from_arrays([ids, pa.array(lengths, pa.int64()), *(pa.array(m, pa.float64()) for m in (*means, means[0] - means[1]))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, found = {}, {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {c: batch.column(c)[r].as_py() for c in _SENT}
+                if row["tokens"] is not None:
+                    blocks[row["block"]] = row
+                else:
+                    found.setdefault(row["block"], {})[row["part"]] = row["t"], row["b"]
+        for block, own in blocks.items():
+            yield scored(own, found.pop(block, {}))
+
+    return run
+
+
+def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = None, places: int | None = None) -> CorpusCounts | SharedModels:
     """Models of all rows of docs, target being those whose id is in `target`. Null texts have no tokens; repeated rows count as
-    often as they occur."""
-    words, (key, flag) = vocabulary(docs, text_col, size), fresh(docs, "key", "flag")
-    shared = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words)})
+    often as they occur. `size` or `places`: models of bounded size, see above."""
+    if size is not None or places is not None:
+        return bounded(docs, target, id_col, text_col, size or VOCABULARY, places or SLOTS)
+    marked = _marked(docs, target, id_col, text_col)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, BLOCK_TOKENS):
+            lengths, flags = np.array(block.lengths), np.array(block.flags, bool)
+            words, some = list(block.words), lengths > 0
+            sums = [int(lengths[flags].sum()), int(lengths.sum()), int((some & flags).sum()), int(some.sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([None, *words], pa.binary()), *(pa.array([s] + [0] * len(words), pa.int64()) for s in sums)], names=["word", *sent])
+
+    sent = ["t", "b", "texts_t", "texts_b"]
+    words = marked.mapInArrow(count, "word binary, " + ", ".join(f"{c} long" for c in sent)).groupBy("word").agg(*(F.sum(c).alias(c) for c in sent))
+    r = words.agg(F.count("word").alias("n"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sent)).first()
+    return CorpusCounts(docs, marked, r.n, (r.t, r.b), (r.texts_t, r.texts_b))
+
+
+def _marked(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, target (whether the id is in `target`), a row for each of docs."""
+    key, flag = fresh(docs, "key", "flag")
     chosen = target.select(F.col(id_col).alias(key)).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
-    marked = docs.join(chosen, F.col(f"`{id_col}`") == F.col(key), "left").select(F.col(f"`{text_col}`").alias("text"), F.col(flag).isNotNull().alias("target"))
+    return docs.join(chosen, F.col(f"`{id_col}`") == F.col(key), "left").select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(flag).isNotNull().alias("target"))
+
+
+def bounded(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY, places: int = SLOTS) -> SharedModels:
+    """Models of the `size` most frequent words, pair counts sharing `places` places."""
+    words, marked = vocabulary(docs, text_col, size), _marked(docs, target, id_col, text_col).select("text", "target")
+    shared = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words)})
     v = len(words) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +353,24 @@ def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     return SharedModels(words, counts[:, places + 1 :].astype(np.float64), counts[:, : places + 1])
 
 
-def score(docs: DataFrame, models: SharedModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, models: CorpusCounts | SharedModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: id_col, n_tokens, ce_target, ce_background, difference (nats a token, 0 without tokens)."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # size fixed by VOCABULARY and SLOTS
+    names = [id_col, "n_tokens", "ce_target", "ce_background", "difference"]
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names[2:])])
+    if isinstance(models, SharedModels):
+        return _score_bounded(docs, models, id_col, text_col, names, schema)
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-models.tokens[1] // PART_TOKENS))
+    if docs is models.docs:
+        sent = models.marked.mapInArrow(_sender(parts, True, True, BLOCK_TOKENS), _SENT_SCHEMA)
+    else:
+        asked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.lit(False).alias("target"))
+        sent = models.marked.mapInArrow(_sender(parts, True, False, BLOCK_TOKENS), _SENT_SCHEMA).unionByName(asked.mapInArrow(_sender(parts, False, True, BLOCK_TOKENS), _SENT_SCHEMA))
+    sums = sent.repartitionById(parts, F.col("part")).mapInArrow(_summed, _SENT_SCHEMA)
+    return sums.repartitionById(parts, F.col("home")).mapInArrow(_scorer((models.n_words, models.tokens, models.texts), parts, names), schema)
+
+
+def _score_bounded(docs: DataFrame, models: SharedModels, id_col: str, text_col: str, names: list[str], schema: T.StructType) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # size fixed by `size` and `places`
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -128,8 +380,6 @@ def score(docs: DataFrame, models: SharedModels, id_col: str = "doc_id", text_co
                 t, b = shared.value.losses(found).mean(axis=1).tolist() if found else (0.0, 0.0)
                 rows.append((len(found), t, b, t - b))
             n, t, b, d = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (t, b, d))], names=[id_col, "n_tokens", "ce_target", "ce_background", "difference"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (t, b, d))], names=names)
 
-    kind = T.StructField(id_col, docs.schema[id_col].dataType)
-    doubles = [T.StructField(c, T.DoubleType()) for c in ("ce_target", "ce_background", "difference")]
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType([kind, T.StructField("n_tokens", T.LongType()), *doubles]))
+    return docs.select(id_col, text_col).mapInArrow(run, schema)

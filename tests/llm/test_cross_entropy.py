@@ -48,3 +48,57 @@ def test_awkward(spark):
     assert len(rows) == 10 and {r.difference for r in rows if r.doc_id in (1, 2, 5)} == {0.0}
     models = cross_entropy.train(empty(spark), empty(spark), size=50, places=1 << 10)
     assert cross_entropy.score(empty(spark), models).count() == 0 and cross_entropy.score(awkward(spark), models).count() == 10
+
+
+def unhashed(docs, chosen, scored):
+    """Losses by plain counts of all words and pairs."""
+    single, pair, heads = ([Counter(), Counter()] for _ in range(3))
+    for k, text in docs:
+        x = words_of(text)
+        for m in (0, 1) if k in chosen else (1,):
+            single[m].update(x)
+            pair[m].update(zip([None, *x], x))
+            heads[m].update([None, *x] if x else [])
+    v, total, out = len(single[1]) + 1, [sum(c.values()) for c in single], {}
+    for k, text in scored:
+        x = words_of(text)
+        loss = [sum(-log(0.5 * pair[m][a, b] / max(1, heads[m][a]) + 0.5 * (single[m][b] + 0.5) / (total[m] + 0.5 * v)) for a, b in zip([None, *x], x)) / max(1, len(x)) for m in (0, 1)]
+        out[k] = [len(x), *loss, loss[0] - loss[1]]
+    return out
+
+
+def exact(docs, models, want):
+    got = cross_entropy.score(docs, models).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert np.allclose([r.n_tokens, r.ce_target, r.ce_background, r.difference], want[r.doc_id], rtol=1e-9), r
+
+
+def test_every_word_and_pair_counts(spark, monkeypatch):
+    # more words than VOCABULARY held; small blocks and parts, so that sums cross both
+    monkeypatch.setattr(cross_entropy, "BLOCK_TOKENS", 3_000)
+    monkeypatch.setattr(cross_entropy, "PART_TOKENS", 10_000)
+    made = [(k, " ".join(f"w{(k * 613 + i * i * 7) % 45_000}" for i in range(1_200))) for k in range(80)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    target = docs.where("doc_id % 3 = 0").select("doc_id")
+    assert len({w for _, text in made for w in words_of(text)}) > 32_768
+    models, chosen = cross_entropy.train(docs, target), set(range(0, 80, 3))
+    exact(docs, models, unhashed(made, chosen, made))
+    other = [(1, "w1 never seen w2 w3"), (2, ""), (3, made[4][1])]
+    exact(spark.createDataFrame(other, "doc_id long, text string"), models, unhashed(made, chosen, other))
+
+
+def test_unhashed_on_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    target = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1")
+    rows = [tuple(r) for r in docs.collect()]
+    exact(docs, cross_entropy.train(docs, target), unhashed(rows, {r.doc_id for r in target.collect()}, rows))
+
+
+def test_awkward_unbounded(spark):
+    docs = awkward(spark)
+    rows = cross_entropy.score(docs, cross_entropy.train(docs, empty(spark).select("doc_id"))).collect()
+    assert len(rows) == 10 and {r.difference for r in rows if r.doc_id in (1, 2, 5)} == {0.0} and sum(r.doc_id is None for r in rows) == 1
+    nothing = empty(spark)
+    models = cross_entropy.train(nothing, nothing)
+    assert cross_entropy.score(nothing, models).count() == 0 and cross_entropy.score(docs, models).count() == 10
