@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeseam.operators.lexical import top
 
-#: Query vectors up to which they are broadcast to the scan.
+#: Query vectors that go to a scan of the vectors together; more take further scans.
 BROADCAST_QUERIES = 4_096
 
 
@@ -32,12 +33,18 @@ def dot(a: Column, b: Column) -> Column:
 def cosine_hits(vectors: DataFrame, queries: DataFrame, limit: int, id_col: str = "chunk_id") -> DataFrame:
     """query_id, id, score = max(0, cosine) of the best `limit` vectors (unit length) for each query vector; ties by id.
 
-    The queries are a stated set and go to every partition of the vectors; a matrix product per Arrow batch keeps the best of each
-    partition, so what is shuffled is at most limit rows for each query and partition.
+    The queries go to every partition of the vectors, in blocks of BROADCAST_QUERIES with a scan each; a matrix product per Arrow
+    batch keeps the best of each partition, so what is shuffled is at most limit rows for each query and partition.
     """
-    wanted = queries.select("query_id", "vector").collect() if queries.count() <= BROADCAST_QUERIES else None
-    if wanted is None:
-        raise ValueError(f"more than {BROADCAST_QUERIES} query vectors: pass them in blocks")
+    rows, local = queries.select("query_id", "vector").toLocalIterator(), None
+    while (wanted := list(islice(rows, BROADCAST_QUERIES))) or local is None:
+        hits = _block_hits(vectors, wanted, limit, id_col)
+        local = hits if local is None else local.unionByName(hits)
+    return top(local, limit, "cosine", tie=id_col).withColumn("score", F.greatest("cosine", F.lit(0.0)))
+
+
+def _block_hits(vectors: DataFrame, wanted: list[Row], limit: int, id_col: str) -> DataFrame:
+    """query_id, id, cosine: the best of each partition of the vectors for each of the wanted queries."""
     ids = [r.query_id for r in wanted]
     matrix = np.array([r.vector for r in wanted], dtype=np.float64).reshape(len(ids), -1) if ids else np.zeros((0, 0))
     kind = dict(vectors.dtypes)[id_col]
@@ -59,8 +66,7 @@ def cosine_hits(vectors: DataFrame, queries: DataFrame, limit: int, id_col: str
         q = np.repeat(np.arange(len(ids)), [len(h[0]) for h in held])
         yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in q], pa.int64()), pa.array(np.concatenate([h[1] for h in held]) if ids else [], pa.int64()), pa.array(np.concatenate([h[0] for h in held]) if ids else [], pa.float64())], names=["query_id", id_col, "cosine"])
 
-    local = vectors.select(id_col, "vector").mapInArrow(best, f"query_id long, {id_col} {kind}, cosine double")
-    return top(local, limit, "cosine", tie=id_col).withColumn("score", F.greatest("cosine", F.lit(0.0)))
+    return vectors.select(id_col, "vector").mapInArrow(best, f"query_id long, {id_col} {kind}, cosine double")
 
 
 def missing_vectors(chunks: DataFrame, vectors: DataFrame, model: str, sources: list[str] | None = None) -> DataFrame:

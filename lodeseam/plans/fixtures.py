@@ -60,5 +60,5 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors 0, 7, 14 and 21, as queries of those ids."""
-    return vectors(spark, sf_dir).where(F.col("chunk_id").isin(0, 7, 14, 21)).select(F.col("chunk_id").alias("query_id"), "vector")
+    """Every vector whose id is divisible by 20, as a query of that id."""
+    return vectors(spark, sf_dir).where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), "vector")
