@@ -372,7 +372,7 @@ def case_list(spark, d):
 def case_state(spark, d):
     c = fx.table(spark, d, "conversations")
     last = c.groupBy("conv_id", "role").agg(F.max_by("text", "turn").alias("latest"), F.max("turn").alias("turn"))
-    return last.select("conv_id", F.col("role").alias("kind"), "turn", F.substring("latest", 1, 80).alias("latest"))
+    return last.select("conv_id", F.col("role").alias("kind"), "turn", "latest")
 
 
 @query
@@ -398,8 +398,8 @@ def source_listing(spark, d):
 
 @query
 def excerpt_lookup(spark, d):
-    c = fx.chunks(spark, d).where("doc_id = 3")
-    return c.select("chunk_id", "source_id", "source_name", "title", "authority", F.substring("text", 1, 100).alias("excerpt"))
+    c = fx.chunks(spark, d)
+    return c.select("chunk_id", "source_id", "source_name", "title", "authority", F.col("text").alias("excerpt"))
 
 
 @query
