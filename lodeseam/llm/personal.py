@@ -105,12 +105,18 @@ def _phone(v: Column) -> Column:
     return F.length(F.regexp_replace(v, "[^0-9]", "")).between(9, 15)
 
 
+def best_apart(spans: Column) -> Column:
+    """Of spans with first, order, last and score: by descending score, then place, each that overlaps none taken so far."""
+    ranked = F.array_sort(F.transform(spans, lambda s: F.struct((-s["score"]).alias("key"), s["first"].alias("first"), s["order"].alias("order"), s["last"].alias("last"), s["kind"].alias("kind"))))
+    return F.aggregate(ranked, F.filter(ranked, lambda s: F.lit(False)), lambda taken, s: F.when(F.exists(taken, lambda o: overlap(s, o)), taken).otherwise(F.concat(taken, F.array(s))))
+
+
 def find_personal(docs: DataFrame, models: dict[str, tuple[BoostedTrees, float]] | None, text_col: str = "text") -> DataFrame:
     """All rows and columns of docs plus `personal`, array<struct<first, order, last, kind>>, sorted by kind as listed, then start.
 
     Base kinds: email, ip (parts at most 255), card (13 to 19 digits that pass Luhn's test), phone (9 to 15 digits). With models,
     candidates that meet no base span and score over their generator's threshold are added under its name; of those that
-    overlap the highest score stays, then the first. Places are in code points, ends exclusive. Null text is empty. Rows are
+    overlap the highest score stays, then the first; one that only overlaps such as do not stay, stays too. Places are in code points, ends exclusive. Null text is empty. Rows are
     independent; a column `personal` of docs is replaced.
     """
     docs = docs.drop("personal")
@@ -137,8 +143,7 @@ def find_personal(docs: DataFrame, models: dict[str, tuple[BoostedTrees, float]]
             return F.filter(F.transform(free, one), lambda s: s["score"] >= least)
 
         found = found.withColumn(new, reduce(F.concat, [judged(c, k, len(KINDS) + n) for n, (c, k) in enumerate(zip(cand, models, strict=True))]))
-        better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & ((a["first"] < b["first"]) | ((a["first"] == b["first"]) & (a["order"] < b["order"]))))
-        won = F.filter(F.col(new), lambda s: ~F.exists(F.col(new), lambda o: overlap(s, o) & better(o, s)))
+        won = best_apart(F.col(new))
         extra = F.transform(won, lambda s: F.struct(s["first"].alias("first"), s["order"].alias("order"), s["last"].alias("last"), s["kind"].alias("kind")))
         everything = F.concat(F.col(base), extra)
     else:

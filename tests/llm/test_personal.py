@@ -72,3 +72,12 @@ def test_candidates(spark):
 def test_awkward(spark):
     models = personal.train_candidates(spark, 60)
     assert personal.find_personal(awkward(spark), models).count() == 10 and personal.find_personal(empty(spark), models).count() == 0
+
+
+def test_a_loser_keeps_none_out(spark):
+    # a-b-c: b overlaps both others and loses to c, so a stays
+    made = [(0, 10, 0.7, "digits"), (5, 25, 0.8, "account"), (20, 30, 0.9, "digits"), (40, 50, 0.7, "digits"), (40, 50, 0.7, "account")]
+    rows = [([{"first": f, "order": n, "last": t, "kind": k, "score": x} for n, (f, t, x, k) in enumerate(made)],), ([],)]
+    df = spark.createDataFrame(rows, "s array<struct<first: int, order: int, last: int, kind: string, score: double>>")
+    got = [sorted((x["first"], x["order"]) for x in r.w) for r in df.select(personal.best_apart(df.s).alias("w")).collect()]
+    assert got == [[(0, 0), (20, 2), (40, 3)], []]
