@@ -1,12 +1,13 @@
 """Language ID by a convolutional network over bytes: filters of several widths, max pooling and softmax, trained in numpy.
 
-A text is cut into fixed-length windows of bytes; all of them are classified, and their mean logits, weighted by
-their bytes, decide. For prediction the filters become tables over pairs of bytes, so a convolution is a few look-ups.
+A text is cut into fixed-length windows of bytes, the last one filled up with zeros; all of them are classified, and their mean
+logits, weighted by their bytes, decide. For prediction the filters become tables over pairs of bytes, so a convolution is a few
+look-ups. A filter sees only bytes of its own window, and sums are taken in an order that no other row changes: a text gets the
+same result to the last bit alone and in any batch.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +19,16 @@ from pyspark.sql import types as T
 from lodeseam.llm.common import fresh, share, sliced
 
 WINDOW, DEPTH, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
-#: Bounds of the labelled sample: documents of each language, windows of each document, languages.
-SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_LANGS = 240, 4, 100
-LETTER = re.compile(r"[^\W\d_]")
+#: Bounds of the labelled sample: documents of each language, windows of each document, languages (more than the world has).
+SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_LANGS = 240, 4, 10_000
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of a category L; numerals such as ½ and Ⅷ are not."""
+    return any(map(str.isalpha, text))
+
+
 def as_bytes(texts: list[str | None]) -> list[np.ndarray]:
     return [_LOWER[np.frombuffer((t or "").encode("utf-8", "replace"), np.uint8)] for t in texts]
 
@@ -92,7 +97,7 @@ class ByteConvNet:
         return out
 
     def logits(self, data: np.ndarray, tables) -> np.ndarray:
-        """Of consecutive windows; data holds them and max(WIDTHS) bytes more."""
+        """Of consecutive windows; data holds them and max(WIDTHS) bytes more, which no filter sees."""
         n = len(data) // WINDOW
         size = n * WINDOW
         pair = data[:-1].astype(np.int32) * 256 + data[1:]
@@ -101,15 +106,18 @@ class ByteConvNet:
             h = parts[0].take(pair[:size], axis=0)
             for j, part in enumerate(parts[1:], 1):
                 h += part.take(pair[2 * j : 2 * j + size] if 2 * j + 1 < k else data[2 * j : 2 * j + size], axis=0)
-            pooled.append(h.reshape(n, WINDOW, FILTERS).max(axis=1) + self.w[f"bias{k}"])
-        return np.maximum(np.concatenate(pooled, axis=1), 0) @ self.w["out"] + self.w["out_bias"]
+            pooled.append(h.reshape(n, WINDOW, FILTERS)[:, : WINDOW - k + 1].max(axis=1) + self.w[f"bias{k}"])
+        out = np.tile(self.w["out_bias"], (n, 1))
+        for a, weights in zip(np.maximum(np.concatenate(pooled, axis=1), 0).T, self.w["out"], strict=True):
+            out += a[:, None] * weights  # one after the other: a matrix product rounds by the number of rows
+        return out
 
     def predict(self, texts: list[str | None], step: int = 1 << 18) -> tuple[list[str], list[float]]:
         if not hasattr(self, "_tables"):
             self._tables = self.tables()
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         sums = np.zeros((len(texts), len(self.langs)))
-        chosen = [k for k, t in enumerate(texts) if t and LETTER.search(t)] if self.langs else []
+        chosen = [k for k, t in enumerate(texts) if t and has_letter(t)] if self.langs else []
         data = dict(zip(chosen, as_bytes([texts[k] for k in chosen]), strict=True))
         held: list[tuple[int, np.ndarray]] = []
         size = 0
@@ -157,7 +165,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ids = [r.id for r in ranked.where(F.col("r") <= docs_per_lang).select("id").collect()]
     cut = [F.substring("text", (F.greatest(F.length("text") - WINDOW, F.lit(0)) * (k / max(1, windows_per_doc - 1))).cast("int") + 1, F.lit(WINDOW)) for k in range(windows_per_doc)]
     sample = d.where(F.col("id").isin(ids)).select("id", "lang", F.array_distinct(F.array(*cut)).alias("parts")).dropDuplicates(["id"]) if ids else d.limit(0).select("id", "lang", F.array().cast("array<string>").alias("parts"))
-    rows = sorted((r.lang, r.id, p) for r in sample.collect() for p in r.parts if LETTER.search(p))
+    rows = sorted((r.lang, r.id, p) for r in sample.collect() for p in r.parts if has_letter(p))
     net = ByteConvNet(sorted({r[0] for r in rows}))
     if not rows:
         return net

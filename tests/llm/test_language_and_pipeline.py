@@ -28,19 +28,51 @@ def test_training_sees_no_held_out_row(spark):
     assert a.langs == b.langs and all((a.w[k] == b.w[k]).all() for k in a.w)
 
 
+def plain_logits(net, window):
+    """Of one window, by the convolution itself."""
+    pooled = []
+    for k in language.WIDTHS:
+        h = np.stack([net.w["embed"][window[p : p + k]].ravel() @ net.w[f"conv{k}"] for p in range(language.WINDOW - k + 1)])
+        pooled.append(h.max(axis=0) + net.w[f"bias{k}"])
+    return np.maximum(np.concatenate(pooled), 0) @ net.w["out"] + net.w["out_bias"]
+
+
 def test_tables_are_the_convolution():
     net = language.ByteConvNet(["a", "b"])
     rng = np.random.default_rng(0)
     data = np.concatenate([rng.integers(0, 256, 2 * language.WINDOW), np.zeros(4)]).astype(np.uint8)
     got = net.logits(data, net.tables())
     for w in range(2):
-        pooled = []
-        for k in language.WIDTHS:
-            at = np.arange(w * language.WINDOW, (w + 1) * language.WINDOW)
-            h = np.stack([net.w["embed"][data[p : p + k]].ravel() @ net.w[f"conv{k}"] for p in at])
-            pooled.append(h.max(axis=0) + net.w[f"bias{k}"])
-        want = np.maximum(np.concatenate(pooled), 0) @ net.w["out"] + net.w["out_bias"]
-        assert np.allclose(got[w], want, atol=1e-3)
+        assert np.allclose(got[w], plain_logits(net, data[w * language.WINDOW : (w + 1) * language.WINDOW]), atol=1e-3)
+
+
+def test_a_row_alone_is_the_row_in_any_batch():
+    net = language.ByteConvNet(["a", "b", "c"])
+    rng = np.random.default_rng(3)
+    texts = ["ab" * 128, "ab" * 127 + "a", "x", "é" * 300, "long text " * 40_000, *("".join(map(chr, rng.integers(32, 1000, int(n)))) for n in rng.integers(1, 2000, 60))]
+    alone = [net.predict([t]) for t in texts]
+    for order in (np.arange(len(texts)), rng.permutation(len(texts)), rng.permutation(len(texts))[:7]):
+        langs, scores = net.predict([texts[k] for k in order])
+        assert [(a[0][0], a[1][0]) for a in (alone[k] for k in order)] == list(zip(langs, scores, strict=True))
+    assert net.predict(["½", "Ⅷ²", "12 .,", "", None, "_"])[0] == ["und"] * 6 and net.predict(["½ª"])[0] != ["und"]
+
+
+def test_op4_query_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    net, texts = language.train(docs), {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in queries.op4_language(spark, SF).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        data = language.as_bytes([text])[0]
+        z = np.zeros(len(net.langs))
+        for s in range(0, len(data), language.WINDOW):
+            part = data[s : s + language.WINDOW]
+            z += plain_logits(net, np.pad(part, (0, language.WINDOW - len(part)))) * (len(part) / len(data))
+        p = np.exp(z - z.max())
+        if any(map(str.isalpha, text)):
+            assert got[i].lang_pred == net.langs[int(p.argmax())] and abs(got[i].score - p.max() / p.sum()) < 1e-3
+        else:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
 
 
 def test_gradients():
