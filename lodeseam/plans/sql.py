@@ -66,7 +66,7 @@ PHRASE_QUERIES = """SELECT query_id, array_to_string(list_transform(range(1, len
  FROM (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark) WHERE len(w) > 1"""
 
 COSINE = """v AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v, label FROM embeddings),
-cs AS (SELECT q.chunk_id AS query_id, v.chunk_id, list_dot_product(v.v, q.v) AS c FROM v, v q WHERE q.chunk_id IN (0, 7, 14, 21) AND {}),
+cs AS (SELECT q.chunk_id AS query_id, v.chunk_id, list_dot_product(v.v, q.v) AS c FROM v, v q WHERE q.chunk_id % 20 = 0 AND {}),
 cr AS (SELECT *, greatest(c, 0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, chunk_id) AS rank FROM cs)"""
 
 POOL = (
@@ -204,7 +204,7 @@ p3 AS (SELECT conv_id, turn, c, string_agg(t, chr(10) ORDER BY i) AS text FROM p
         "bm25_phrase": w(bm25(PHRASE_QUERIES)) + _TOLD.format("rank <= 10"),
         "cosine_topk": w(COSINE.format("true")) + "SELECT query_id, chunk_id, round(score, 6) AS score, rank::BIGINT AS rank FROM cr WHERE rank <= 20",
         "cosine_filtered": w(COSINE.format("v.label < 3")) + "SELECT query_id, chunk_id, round(score, 6) AS score, rank::BIGINT AS rank FROM cr WHERE rank <= 20",
-        "hybrid_merge": w(bm25(), COSINE.format("true").replace("vec_id AS chunk_id", "vec_id * 1000 AS chunk_id").replace("q.chunk_id AS query_id", "q.chunk_id // 1000 AS query_id").replace("(0, 7, 14, 21)", "(0, 7000, 14000, 21000)"), "mm AS (SELECT query_id, chunk_id, score, 0 AS b, rank FROM rk WHERE rank <= 30 UNION ALL SELECT query_id, chunk_id, score, 1, rank FROM cr WHERE rank <= 30), m2 AS (SELECT query_id, chunk_id, max(score) AS score, min(b * 1000 + rank) AS place FROM mm GROUP BY ALL)") + "SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY place, chunk_id)::BIGINT AS merge_pos FROM m2",
+        "hybrid_merge": w(bm25(), COSINE.format("true").replace("vec_id AS chunk_id", "vec_id * 1000 AS chunk_id").replace("q.chunk_id AS query_id", "q.chunk_id // 1000 AS query_id").replace("q.chunk_id % 20 = 0", "q.chunk_id % 20000 = 0"), "mm AS (SELECT query_id, chunk_id, score, 0 AS b, rank FROM rk WHERE rank <= 30 UNION ALL SELECT query_id, chunk_id, score, 1, rank FROM cr WHERE rank <= 30), m2 AS (SELECT query_id, chunk_id, max(score) AS score, min(b * 1000 + rank) AS place FROM mm GROUP BY ALL)") + "SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY place, chunk_id)::BIGINT AS merge_pos FROM m2",
         "missing_vectors": w(DOCS, _VECTORS) + "SELECT doc_id AS chunk_id, source_id FROM dd WHERE source_id IN ('src1', 'src2', 'src3') AND NOT EXISTS (SELECT 1 FROM vt WHERE vt.chunk_id = doc_id AND model = 'now')",
         "embedding_coverage": w(DOCS, _VECTORS) + "SELECT source_id, count(*) AS chunks, count(vt.chunk_id) AS embedded FROM dd LEFT JOIN vt ON vt.chunk_id = doc_id AND model = 'now' GROUP BY source_id",
         "stale_dims": w(DOCS, _VECTORS) + "SELECT chunk_id, dim FROM vt WHERE model = 'now' AND NOT stale AND EXISTS (SELECT 1 FROM dd WHERE doc_id = chunk_id)",
@@ -227,11 +227,11 @@ e1 AS (SELECT *, score * CASE authority WHEN 'official' THEN 1.0 WHEN 'trusted'
         "replace_chunks": w(HALVES, f"""ra AS (SELECT doc_id, text FROM hs WHERE doc_id NOT IN (SELECT doc_id FROM hm WHERE status = 'changed') UNION ALL SELECT doc_id, text FROM hm WHERE status = 'changed'),
 rb AS (SELECT doc_id, CASE WHEN {est("text")} <= 400 THEN [{STRIP("text")}] ELSE list_transform(range(0, len(w), 300), lambda k: array_to_string(w[k + 1 : k + 300], ' ')) END AS p FROM (SELECT *, regexp_extract_all(text, '[^\\s\\v]+') AS w FROM ra))""") + f"SELECT doc_id, (i - 1)::BIGINT AS ordinal, sha256({NORM('p[i]')}) AS h FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM rb) WHERE p[i] <> ''",
         "case_list": "SELECT conv_id, count(*) AS observations, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
-        "case_state": "SELECT conv_id, role AS kind, max(turn) AS turn, substr(arg_max(text, turn), 1, 80) AS latest FROM conversations GROUP BY ALL",
+        "case_state": "SELECT conv_id, role AS kind, max(turn) AS turn, arg_max(text, turn) AS latest FROM conversations GROUP BY ALL",
         "source_stats": w(CHUNKS) + "SELECT source_id, count(DISTINCT doc_id) AS documents, count(chunk_id) AS chunks FROM ch GROUP BY source_id",
         "table_counts": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("documents", "pages", "embeddings", "conversations", "benchmark", "labels", "events")),
         "source_listing": w(DOCS) + "SELECT doc_id, title FROM dd WHERE source_id = 'src5' ORDER BY title LIMIT 20",
-        "excerpt_lookup": w(CHUNKS) + "SELECT chunk_id, source_id, source_name, title, authority, substr(text, 1, 100) AS excerpt FROM ch WHERE doc_id = 3",
+        "excerpt_lookup": w(CHUNKS) + "SELECT chunk_id, source_id, source_name, title, authority, text AS excerpt FROM ch",
         "section_filter": w(CHUNKS) + "SELECT lang, count(*) AS n FROM ch WHERE contains(lower(lang), 'e') GROUP BY lang",
         "document_ranking": w(bm25() + RANKING) + "SELECT query_id, doc_id, rank::BIGINT AS rank FROM dk",
         "recall_precision_mrr_hit": w(bm25() + RANKING, GOLD, """dl AS (SELECT query_id, list(doc_id ORDER BY rank) AS r FROM dk GROUP BY query_id), ev AS (SELECT gl.query_id, relevant, coalesce(r, []) AS r FROM gl LEFT JOIN dl USING (query_id)),
