@@ -4,12 +4,14 @@
 2. Each class has K minwise tokens. In each of several independent trees a node chooses one coordinate, a second one with
    the probability that keeps the expected number of collisions at the threshold at one a level, and sends a class to
    the child of its token there. All choices are hashes of the node's path, so a class finds its nodes by itself.
-3. Nodes of one class end. Nodes of LIMIT classes or fewer are compared exhaustively, on sketches of the minwise tokens;
-   larger ones branch on. What has not split at the last depth is a dense group: it is compared in pairs of blocks of
-   BLOCK classes, so no task holds a whole group.
+3. Nodes of one class end. The others are compared exhaustively, on sketches of the minwise tokens; of more than BLOCK
+   classes at first only within blocks of BLOCK classes, so each class is sent once, however large its node is.
 4. Of a node's candidate pairs only a spanning forest leaves it: enough to know which classes may belong together. In each
-   such family, again in pairs of blocks, links are confirmed on full sets, likeliest pairs first; a pair that its block
-   already knows to be connected needs no look, and again only a spanning forest leaves the task.
+   such family links are confirmed on full sets, likeliest pairs first; a pair that its block already knows to be connected
+   needs no look, and again only a spanning forest leaves the task.
+5. Most large nodes are now one connected component, and end. In the others, and in large families, what is not of the
+   largest component (the rest) is compared with all, in pairs of blocks, so no task holds a whole group; where the rest is
+   over BLOCK classes itself, the node branches on first, down to the last depth. No pair of unequal components is left out.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ from pyspark.sql import functions as F
 
 from lodeseam.llm.common import fresh, sliced, staged
 
-K, LIMIT, BLOCK = 128, 64, 512
+K, BLOCK = 128, 512
 #: Sketch matches that a linked pair has but for once in about a million, for a threshold t: t less so many deviations.
 DEVIATIONS = 4.7
 #: A side of a join up to so many rows of two numbers is broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
-#: Edges that one task of a contraction round takes.
-EDGES_A_TASK = 100_000
+#: Edges that a task takes; where so few are left, one task ends the search for components.
+EDGES_A_TASK = 200_000
 
 _R = np.random.default_rng(64)
 _PLACE = _R.integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,7 +138,7 @@ def _paths(trees: int, depth: int, threshold: float):
                 nodes = mix(np.tile(np.arange(trees, dtype=np.uint64) + np.uint64(1), len(v)))
                 for _ in range(depth):
                     nodes, rows = children(nodes, rows, tokens, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(v[rows])], names=["node", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(v[rows])], names=["key", "v"])
 
     return run
 
@@ -145,8 +147,8 @@ def _branch(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, v = _matrix(batch.column("tokens"), K, np.uint32), batch.column("v").to_numpy()
-            nodes, rows = children(batch.column("node").to_numpy().view(np.uint64), np.arange(len(v)), tokens, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(v[rows])], names=["node", "v"])
+            nodes, rows = children(batch.column("key").to_numpy().view(np.uint64), np.arange(len(v)), tokens, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(v[rows])], names=["key", "v"])
 
     return run
 
@@ -163,13 +165,13 @@ def _describe(n: int):
                 h2.append(b)
                 tokens.append(m.tobytes())
                 low.append((m & np.uint32(255)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (size, h1, h2)), pa.array(tokens, pa.binary()), pa.array(low, pa.binary())], names=["id", "size", "v", "w", "tokens", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (size, h1, h2)), pa.array(tokens, pa.binary()), pa.array(low, pa.binary())], names=["id", "size", "h1", "h2", "tokens", "sketch"])
 
     return run
 
 
-def _pairs_in(keys, blocks, apart, sketches, sizes, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows i < j of equal key whose sketches may be linked, and the share of coordinates that agree."""
+def _pairs_in(keys, blocks, apart, comps, sketches, sizes, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i < j of equal key and unequal components whose sketches may be linked, and how many coordinates agree."""
     least = int(np.floor(K * (threshold - DEVIATIONS * (threshold * (1 - threshold) / K) ** 0.5)))
     found = []
     for d in range(1, len(keys)):
@@ -177,7 +179,7 @@ def _pairs_in(keys, blocks, apart, sketches, sizes, threshold: float) -> tuple[n
         if not same.any():
             break
         small, large = np.minimum(sizes[:-d], sizes[d:]), np.maximum(sizes[:-d], sizes[d:])
-        i = np.flatnonzero(same & (~apart[:-d] | (blocks[:-d] != blocks[d:])) & (small >= threshold * large - 1e-9))
+        i = np.flatnonzero(same & (comps[:-d] != comps[d:]) & (~apart[:-d] | (blocks[:-d] != blocks[d:])) & (small >= threshold * large - 1e-9))
         if len(i):
             match = np.count_nonzero(sketches[i] == sketches[i + d], axis=1)
             ok = match >= least
@@ -187,9 +189,11 @@ def _pairs_in(keys, blocks, apart, sketches, sizes, threshold: float) -> tuple[n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray, match: np.ndarray, linked=None) -> tuple[list[int], list[int]]:
-    """Edges of a spanning forest of n rows, from the pairs in order of match; `linked`, if given, is asked before two trees join."""
-    root, a, b = np.arange(n), [], []
+def _forest(comps: np.ndarray, i: np.ndarray, j: np.ndarray, match: np.ndarray, linked=None) -> tuple[list[int], list[int]]:
+    """Edges of a forest over the rows that joins their components, from the pairs in order of match; `linked`, if given, is asked
+    before two trees join."""
+    _, first, of = np.unique(comps, return_index=True, return_inverse=True)
+    root, a, b = first[of], [], []
 
     def top(x: int) -> int:
         while root[x] != x:
@@ -227,16 +231,16 @@ def _linked_sets(shingles: list[bytes], threshold: float):
 
 def _compare(threshold: float, full: bool):
     """Edges (a, b) of spanning forests of what each key holds: of pairs whose sketches may be linked or, with full sets, are linked."""
-    columns = ("v", "block", "apart", "size")
+    columns = ("v", "block", "apart", "comp", "size")
 
     def give(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts).combine_chunks()
         key = rows.column("key").to_numpy()
-        v, blocks, apart, sizes = (rows.column(c).to_numpy() for c in columns)
-        i, j, match = _pairs_in(key, blocks, apart, _matrix(rows.column("sketch"), K, np.uint8), sizes, threshold)
+        v, blocks, apart, comps, sizes = (rows.column(c).to_numpy() for c in columns)
+        i, j, match = _pairs_in(key, blocks, apart, comps, _matrix(rows.column("sketch"), K, np.uint8), sizes, threshold)
         if len(i):
             linked = _linked_sets(rows.column("shingles").to_pylist(), threshold) if full else None
-            a, b = _forest(len(key), i, j, match, linked)
+            a, b = _forest(comps, i, j, match, linked)
             if a:
                 x, y = v[a], v[b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -260,12 +264,28 @@ def _compare(threshold: float, full: bool):
     return run
 
 
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """v, root of all edges (a, b) of the task."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    a, b = (np.concatenate([x[k] for x in held]) if held else np.zeros(0, np.int64) for k in (0, 1))
+    vertices, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = np.arange(len(vertices))
+    x, y = at[: len(a)], at[len(a) :]
+    while len(x):  # a tree hooks on to the least neighbour's, then all paths are cut short
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while (root != root[root]).any():
+            root = root[root]
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+    yield pa.RecordBatch.from_arrays([pa.array(vertices), pa.array(vertices[root])], names=["v", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """v, root for every vertex of edges (a, b). Each round joins a vertex to its neighbour of the smallest hash, anew each
-    time, and contracts; the edges shrink by a constant factor whatever their shape. Nothing comes to the driver."""
-    spark = edges.sparkSession
-    labels, e, r = spark.createDataFrame([], "v long, root long"), edges, 0
-    while left := e.count():
+    """v, root for every vertex of edges (a, b), staged. While there are more than EDGES_A_TASK edges, each round joins a vertex to
+    its neighbour of the smallest hash, anew each time, and contracts, which shrinks them by a constant factor whatever their
+    shape; what is left then goes to one task. Nothing comes to the driver."""
+    labels, e, r = None, edges, 0
+    while (left := e.count()) > EDGES_A_TASK:
         tasks = 1 + left // EDGES_A_TASK  # the edges shrink from round to round, and so do the tasks that hold them
         both = e.union(e.select("b", "a")).toDF("a", "b")
         near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(r), "b").alias("h"), F.col("b").alias("to"))).alias("m"))
@@ -273,86 +293,177 @@ def components(edges: DataFrame) -> DataFrame:
         labels = p.toDF("v", "root") if r == 0 else staged(labels.join(p, F.col("root") == F.col("p"), "left").select("v", F.coalesce("to", "root").alias("root")), "labels")
         e = e.join(p.toDF("a", "ta"), "a").join(p.toDF("b", "tb"), "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
         e, r = staged(e.coalesce(tasks), "contracted"), r + 1
-    return labels
+    last = e.coalesce(1).mapInArrow(_union_find, "v long, root long")
+    if labels is not None:
+        last = labels.join(F.broadcast(last.toDF("p", "to")), F.col("root") == F.col("p"), "left").select("v", F.coalesce("to", "root").alias("root"))
+    return staged(last, "labels")
 
 
-def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, recall: float = 0.999999, deeper: int = 3) -> DataFrame:
+def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, recall: float = 0.999999, deeper: int = 2) -> DataFrame:
     """A row for each row of docs: id_col, n_shingles, component_id (the smallest id of its component), kept.
 
-    Words are parted by blanks, A-Z lower-cased; a document's set has its distinct shingles of `shingle` words, or of fewer
-    words the whole sequence. Documents are linked at a Jaccard similarity of `threshold` or more, confirmed on full sets;
-    recall is the probability to find a pair just at the threshold, closer ones are found more surely still. A document
-    without words (or with null text) has an empty set and is linked with nothing. A row without an id gets no component,
-    links nothing and is kept. Rows that share an id are judged each by its own text; equal rows get equal results.
+    Ids are integers. Words are parted by blanks, A-Z lower-cased; a document's set has its distinct shingles of `shingle` words,
+    or of fewer words the whole sequence. Documents are linked at a Jaccard similarity of `threshold` or more, confirmed on full
+    sets (of 64-bit hashes of shingles); recall is the probability to find a pair just at the threshold, closer ones are found
+    more surely still. A document without words (or with null text) has an empty set and is linked with nothing. A row without
+    an id gets no component, links nothing and is kept. Rows that share an id are judged each by its own text; equal rows get
+    equal results; an empty table gives an empty result, and other columns of docs do not matter.
     """
     n_, id_ = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), F.col("id")
-    facts = staged(n_.mapInArrow(_describe(shingle), "id long, size long, v long, w long, tokens binary, sketch binary"), "sets")
+    facts = staged(n_.mapInArrow(_describe(shingle), "id long, size long, h1 long, h2 long, tokens binary, sketch binary"), "sets")
     real = facts.where(id_.isNotNull() & (F.col("size") > 0))
-    classes = staged(real.groupBy("v", "w").agg(F.min("id").alias("rep"), F.first("size").alias("size")), "classes")
-    reps = facts.join(classes.select("v", "w", F.col("rep").alias("id")), ["v", "w", "id"], "left_semi").dropDuplicates(["v", "w"])
-    # a class is known by 64 bits from here on; a class of its 128 bits is one row
-    reps = staged(reps.select("v", "id", "size", "tokens", "sketch"), "reps")
-    n = max(2, reps.count())
-    depth = max(1, ceil(log(n) / log(64)))
-    nodes = _nodes(reps, depth, depth + deeper, trees_for(threshold, depth + 1, recall), threshold)
-    labels = _linked(n_, reps, nodes, shingle, threshold)
-    rooted = classes.join(labels, "v", "left").select("v", "w", "rep", F.coalesce("root", "v").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select("v", "w", "component_id")
-    out = facts.select("id", "size", "v", "w").join(named, ["v", "w"], "left")
+    counted = staged(real.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("size").alias("size")), "classes")
+    # a class is known by one number, made of its 128 bits anew until no two classes share it
+    number, salt = F.col("h1"), 0
+    while True:
+        r = counted.agg(F.count("*").alias("n"), F.count_distinct(number).alias("v")).first()
+        if r.n == r.v:
+            break
+        salt += 1
+        number = F.xxhash64(F.lit(salt), "h1", "h2")
+    facts, classes = facts.withColumn("v", number), counted.withColumn("v", number)
+    reps = facts.join(classes.select("v", F.col("rep").alias("id")), ["v", "id"], "left_semi").dropDuplicates(["v"])
+    reps = staged(reps.select("v", "h1", "h2", "id", "size", "tokens", "sketch"), "reps")
+    depth = max(1, ceil(log(max(2, r.n)) / log(64)))
+    labels = _Links(n_, reps, shingle, threshold).labels(depth, deeper, trees_for(threshold, depth + deeper, recall))
+    near = _nearby(labels)
+    least = classes.select("v", "rep").join(near(labels), "v").groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = labels.join(near(least), "root").select("v", "component_id")
+    whole = classes.select("v", "rep").join(near(named), "v", "left").select("v", F.coalesce("component_id", "rep").alias("component_id"))
+    out = facts.select("id", "size", "v").join(whole, "v", "left")
     component = F.when(F.col("size") == 0, id_).when(id_.isNotNull(), F.col("component_id"))
     return out.select(id_.alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == id_, F.lit(True)).alias("kept"))
 
 
-def _nodes(reps: DataFrame, depth: int, last: int, trees: int, threshold: float) -> DataFrame:
-    """node, v, n: the nodes to compare, those of two classes or more."""
-    rows, out = reps.select("v", "tokens").mapInArrow(_paths(trees, depth, threshold), "node long, v long"), None
-    while True:
-        live = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        level = staged(rows.join(live, "node").select("node", "v", "n"), "nodes")
-        large = level.where(F.col("n") > LIMIT)
-        done = level if depth == last else level.where(F.col("n") <= LIMIT)
-        out = done if out is None else out.union(done)
-        if depth == last or large.isEmpty():
-            return out
-        rows = large.join(reps.select("v", "tokens"), "v").select("node", "v", "tokens").mapInArrow(_branch(threshold), "node long, v long").distinct()
-        depth += 1
-
-
-def _blocks(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """rows (key, v, n) with facts of v, dealt to pairs of blocks and sorted by key; up to BLOCK rows of a key stay one block."""
-    count = F.ceil(F.col("n") / F.lit(BLOCK))
-    full = rows.join(facts, "v").withColumn("block", F.pmod(F.xxhash64("v", "key"), count)).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+def _nearby(labels: DataFrame):
+    """Marks for broadcast what has at most as many rows as labels, if those are few."""
+    few = labels.count() <= BROADCAST_ROWS
+    return lambda df: F.broadcast(df) if few else df
+
+
+def _live(rows: DataFrame) -> DataFrame:
+    """key, v, n of the keys of two rows or more."""
+    live = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(live, "key").select("key", "v", "n")
+
+
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """key, v, comp, n, most (its largest component), rest (rows of others), of the keys (rows: key, v) that hold several components."""
+    near = _nearby(labels)
+    rows = rows.select("key", "v").join(near(labels.withColumnRenamed("root", "comp")), "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp"))
+    each = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    keys = each.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("m")).where("m.c < n")
+    keys = staged(keys.select("key", "n", F.col("m.comp").alias("most"), (F.col("n") - F.col("m.c")).alias("rest")), "mixed")
+    count = keys.count()
+    return rows.join(F.broadcast(keys) if count <= BROADCAST_ROWS else keys, "key") if count else None
+
+
+def _within(rows: DataFrame) -> DataFrame:
+    """rows (key, v, n) dealt to blocks of about BLOCK rows of a key, each to be compared in itself."""
+    block = F.pmod(F.xxhash64("v", "key"), F.ceil(F.col("n") / F.lit(BLOCK)))
+    return rows.select(F.xxhash64("key", block).alias("key"), "v", F.col("v").alias("comp"), block.alias("block"), F.lit(False).alias("apart"))
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """rows of _mixed dealt to pairs of blocks, the rest with itself and with the largest component; few rows stay one block."""
+    rests, mosts = F.ceil(F.col("rest") / F.lit(BLOCK)), F.ceil((F.col("n") - F.col("rest")) / F.lit(BLOCK))
+    own, few, h = F.col("comp") == F.col("most"), F.col("n") <= BLOCK, F.xxhash64("v", "key")
+    block = F.when(few, 0).when(own, rests + F.pmod(h, mosts)).otherwise(F.pmod(h, rests))
+    others = F.when(few, F.sequence(F.lit(0).cast("long"), F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.when(own, rests).otherwise(rests + mosts) - 1))
+    dealt = rows.select("key", "v", "comp", block.cast("long").alias("block"), F.explode(others).alias("other"))
     pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    full = full.select(pair.alias("key"), "v", "block", (F.col("block") != F.col("other")).alias("apart"), *(c for c in facts.columns if c != "v"))
-    return full.repartition("key").sortWithinPartitions("key")
-
-
-def _linked(docs: DataFrame, reps: DataFrame, nodes: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """v, root of all classes that are linked with another."""
-    sketches = reps.select("v", "size", "sketch")
-    maybe = staged(_blocks(nodes.withColumnRenamed("node", "key"), sketches).mapInArrow(_compare(threshold, False), "a long, b long").distinct(), "maybe")
-    families = components(maybe)
-    if families.isEmpty():
-        return families
-    few = families.count() <= BROADCAST_ROWS
-    near = lambda df: F.broadcast(df) if few else df
-    wanted = reps.select("v", "id").join(near(families), "v").select("v", "id")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1024):
-            want, v, out = batch.column("v").to_pylist(), [], []
-            for k, s in enumerate(shingle_sets(batch.column("text").to_pylist(), shingle)):
-                if set_hashes(s)[0] == want[k]:  # else another text of the same id
-                    v.append(want[k])
-                    out.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(out, pa.binary())], names=["v", "shingles"])
-
-    full = docs.join(near(wanted), "id").select("v", "text").mapInArrow(sets, "v long, shingles binary").dropDuplicates(["v"])
-    sizes = families.groupBy("root").agg(F.count("*").alias("n"))
-    rows = families.join(sizes, "root").select(F.col("root").alias("key"), "v", "n")
-    links = _blocks(rows, sketches.join(full, "v")).mapInArrow(_compare(threshold, True), "a long, b long")
-    return components(staged(links.distinct(), "links"))
+    return dealt.select(pair.alias("key"), "v", "comp", "block", (F.col("block") != F.col("other")).alias("apart"))
+
+
+class _Links:
+    """The search for links between classes. reps: v, h1, h2, id (of a document of it), size, tokens, sketch."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, shingle: int, threshold: float) -> None:
+        self.docs, self.reps, self.shingle, self.threshold = docs, reps, shingle, threshold
+        self.sketches = reps.select("v", "size", "sketch")
+
+    def labels(self, depth: int, deeper: int, trees: int) -> DataFrame:
+        """v, root of all classes that are linked with another."""
+        paths = self.reps.select("v", "tokens").mapInArrow(_paths(trees, depth, self.threshold), "key long, v long")
+        nodes = staged(_live(paths), "nodes")
+        maybe = staged(self._compared(_within(nodes), self.sketches, False), "maybe")
+        links = self._confirmed(maybe)
+        labels, large = components(links), nodes.where(F.col("n") > BLOCK)
+        more = self._wide(large, labels, depth, depth + deeper)
+        if more is None:
+            return labels
+        links = links.union(self._confirmed_across(staged(more, "maybe"), labels))
+        return components(links)
+
+    def _compared(self, dealt: DataFrame, facts: DataFrame, full: bool) -> DataFrame:
+        rows = dealt.join(facts, "v").repartition("key").sortWithinPartitions("key")
+        return rows.mapInArrow(_compare(self.threshold, full), "a long, b long").distinct()
+
+    def _wide(self, nodes: DataFrame, labels: DataFrame, depth: int, last: int) -> DataFrame | None:
+        """Candidates between components that large nodes hold together."""
+        out = None
+        while (mixed := _mixed(nodes, labels)) is not None:
+            mixed = staged(mixed, "wide")
+            wide = (F.col("rest") > BLOCK) & F.lit(depth < last)
+            found = self._compared(_across(mixed.where(~wide)), self.sketches, False)
+            out = found if out is None else out.union(found)
+            on = mixed.where(wide)
+            if on.isEmpty():
+                break
+            rows = on.join(self.reps.select("v", "tokens"), "v").select("key", "v", "tokens").mapInArrow(_branch(self.threshold), "key long, v long").distinct()
+            nodes, depth = _live(rows), depth + 1
+        return out
+
+    def _sets(self, rows: DataFrame) -> DataFrame:
+        """v, size, sketch, shingles (all of them) of the classes in rows."""
+        shingle, near = self.shingle, _nearby(rows)
+        wanted = self.reps.select("v", "h1", "h2", "id").join(near(rows.select("v")), "v", "left_semi")
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches, 1024):
+                v, h1, h2 = (batch.column(c).to_pylist() for c in ("v", "h1", "h2"))
+                ids, out = [], []
+                for k, s in enumerate(shingle_sets(batch.column("text").to_pylist(), shingle)):
+                    if set_hashes(s) == (h1[k], h2[k]):  # else another text of the same id
+                        ids.append(v[k])
+                        out.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["v", "shingles"])
+
+        full = self.docs.join(near(wanted), "id").select("v", "h1", "h2", "text").mapInArrow(sets, "v long, shingles binary").dropDuplicates(["v"])
+        return self.sketches.join(full, "v")
+
+    def _confirmed(self, maybe: DataFrame) -> DataFrame:
+        """Links (a, b), a spanning forest, of the families that candidate pairs make."""
+        families = components(maybe)
+        if families.isEmpty():
+            return families.toDF("a", "b")
+        sizes, near = families.groupBy("root").agg(F.count("*").alias("n")), _nearby(families)
+        rows = families.join(near(sizes), "root").select(F.col("root").alias("key"), "v", "n")
+        links = staged(self._compared(_within(rows), self._sets(families), True), "links")
+        large = rows.where(F.col("n") > BLOCK)
+        mixed = None if large.isEmpty() else _mixed(large, components(links))
+        if mixed is None:
+            return links
+        mixed = staged(mixed, "across")
+        return links.union(staged(self._compared(_across(mixed), self._sets(mixed.select("v").distinct()), True), "links"))
+
+    def _confirmed_across(self, maybe: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links between components, of the families that candidate pairs make of them."""
+        near = _nearby(labels)
+        for c in ("a", "b"):
+            maybe = maybe.join(near(labels.toDF(c, f"root_{c}")), c, "left").withColumn(c, F.coalesce(f"root_{c}", c)).drop(f"root_{c}")
+        families = components(staged(maybe.where("a <> b").distinct(), "maybe"))
+        if families.isEmpty():
+            return families.toDF("a", "b")
+        # the members of the components, and classes that are one alone
+        near = _nearby(families)
+        known = near(families.toDF("root", "key"))
+        rows = labels.join(known, "root").select("key", "v").union(families.select(F.col("root").alias("key"), "v")).distinct()
+        mixed = _mixed(rows, labels)
+        if mixed is None:
+            return families.limit(0).toDF("a", "b")
+        mixed = staged(mixed, "across")
+        return staged(self._compared(_across(mixed), self._sets(mixed.select("v").distinct()), True), "links")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:

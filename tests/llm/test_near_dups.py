@@ -69,7 +69,9 @@ def test_shingle_hashes_know_words():
                 assert len(ours[a] & ours[b]) == len(theirs[a] & theirs[b]), (n, a, b)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_a_task", [200_000, 30])
+def test_components(spark, monkeypatch, edges_a_task):
+    monkeypatch.setattr(near_dups, "EDGES_A_TASK", edges_a_task)
     rng = np.random.default_rng(1)
     edges = [(k, k + 1) for k in range(300)] + [(1000, int(k)) for k in range(1001, 1200)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2400, (150, 2)) if a != b]
     got = {r.v: r.root for r in near_dups.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -77,6 +79,22 @@ def test_components(spark):
     assert set(got) == {x for e in edges for x in e} and all(got[a] == got[b] for a, b in edges)
 
 
+def test_blocks_meet_where_components_differ(spark, monkeypatch):
+    """Every pair of unequal components meets in some dealt group, and the rows sent follow the size of the rest."""
+    monkeypatch.setattr(near_dups, "BLOCK", 8)
+    comp = {v: 0 if v < 200 else v for v in range(213)} | {213: 212}
+    rows = spark.createDataFrame([(5, v) for v in comp], "key long, v long")
+    labels = spark.createDataFrame(list(comp.items()), "v long, root long")
+    dealt, met = defaultdict(list), set()
+    for r in near_dups._across(near_dups._mixed(rows, labels)).collect():
+        dealt[r.key].append(r)
+    for group in dealt.values():
+        met |= {frozenset((a.v, b.v)) for a in group for b in group if a.comp != b.comp and (not a.apart or a.block != b.block)}
+    assert met == {frozenset((a, b)) for a in comp for b in comp if comp[a] != comp[b]}
+    assert sum(map(len, dealt.values())) <= 2 * 200 + 14 * 27 + 14 * 2 and max(map(len, dealt.values())) < 40
+    assert near_dups._mixed(rows.where("v < 200"), labels) is None
+
+
 def test_tree_count():
     assert near_dups.trees_for(0.8, 1, 0.99) == 3 and near_dups.trees_for(0.8, 5, 0.999999) > near_dups.trees_for(0.8, 2, 0.999999)
 
