@@ -4,23 +4,22 @@ Two bigram models share one vocabulary, all words of the corpus, and differ only
 documents of a target set, the background model all documents. A token's score is its loss under the target less its loss
 under the background; a document's is the mean. Low scores are like the target.
 
-A model interpolates: half the share of the pair among its first word's pairs, half the word's own share with half a count
-added to each. Every word and every pair has a count of its own, known by a 128-bit hash; the counts grow with the corpus and
-are nowhere held whole. Documents go in blocks: a block's distinct words and pairs, with their counts in it, are sent to the
-part their hash names, summed there, and the sums go back to the block, whose documents are scored then. A frequent pair is
-thus one entry a block, however often it occurs, and the number of parts follows the number of tokens.
-
-With `size` and `places`, train() makes models of a bounded size instead: the most frequent words, and pair counts that share
-places by hash. These are approximations.
+The models are matched. A model interpolates: half the share of the pair among its first word's pairs, half the word's own share,
+to which both models add the same share for each word of the vocabulary (half a token of the corpus), so that their sizes cancel.
+Neither model knows the document it scores: what a document has put into the counts is taken off while it is scored.
+
+Every word and every pair has a count of its own, known by 64 bits of a hash and by the part that 64 more bits choose; the counts
+grow with the corpus and are nowhere held whole. Documents go in blocks: a block's distinct words and pairs, with their counts in
+it, are sent to the part their hash names, summed there, and the sums go back to the block, whose documents are scored then. A
+frequent pair is thus one entry a block, however often it occurs, and the number of parts follows the number of tokens. Entries
+travel as sorted differences in planes of bytes, compressed.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,6 @@ from pyspark.sql import types as T
 from lodeseam.llm.common import fresh, sliced
 from lodeseam.llm.decontaminate import words_of
 
-#: The size of a bounded model where only one of the two is given: words of its vocabulary, places for pair counts (a power of two).
-VOCABULARY, SLOTS = 32_768, 1 << 21
 #: Tokens of a block (a longer document is a block of its own), and tokens of the corpus for each part of the counts.
 BLOCK_TOKENS, PART_TOKENS = 2_000_000, 2_000_000
 #: A target set up to so many ids is broadcast, a larger one is joined by shuffle.
@@ -41,55 +38,6 @@ BROADCAST_IDS = 2_000_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY, held: int = 300_000) -> list[bytes]:
-    """The most frequent words, then in order of their bytes. Only these come to the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for batch in sliced(batches):
-            for text in batch.column(0).to_pylist():
-                found.update(words_of(text))
-                if len(found) > held:
-                    yield _counts(found)
-                    found.clear()
-        yield _counts(found)
-
-    def _counts(found: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-
-    top = docs.select(text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in top.orderBy(F.desc("n"), "word").limit(size).collect()]
-
-
-def slots(first: np.ndarray, second: np.ndarray, places: int) -> np.ndarray:
-    """Places of pairs; -1, the word before the first, and the unknown word's number count as words."""
-    key = ((first + 1).astype(np.uint64) << np.uint64(32) | (second + 1).astype(np.uint64)) * _MULTIPLY
-    return ((key ^ (key >> np.uint64(29))) * _MULTIPLY >> np.uint64(64 - (places.bit_length() - 1))).astype(np.int64)
-
-
-class SharedModels:
-    """Counts by word and by place, of target (0) and background (1). The last word number stands for all unknown words."""
-
-    def __init__(self, words: list[bytes], single: np.ndarray, pair: np.ndarray) -> None:
-        self.words, self.single, self.pair = {w: k for k, w in enumerate(words)}, single, pair
-        self.total = single.sum(axis=1)
-        # how many pairs begin with a word, at index word + 1 (0: a text's start)
-        self.heads = np.concatenate([pair[:, -1:], single], axis=1)
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.words.get, words, repeat(len(self.words))), np.int64, len(words))
-
-    def losses(self, words: list[bytes]) -> np.ndarray:
-        """Losses in nats of each token, under target and background."""
-        x = self.ids(words)
-        before = np.concatenate([[-1], x[:-1]])
-        at, v = slots(before, x, self.pair.shape[1] - 1), self.single.shape[1]
-        heads = self.heads[:, before + 1]
-        shared = np.minimum(self.pair[:, at], heads) / np.maximum(heads, 1)
-        own = (self.single[:, x] + 0.5) / (self.total[:, None] + 0.5 * v)
-        return -np.log(0.5 * shared + 0.5 * own)
-
-
 @dataclass(frozen=True)
 class CorpusCounts:
     """The corpus a score is relative to, its target documents marked, and the totals of target (0) and background (1). Words and
@@ -172,32 +120,43 @@ def _keys(hashes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
 
 
 def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """The order of the keys by part, and (part, from, to) in it."""
-    part = (keys % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
+    """The order of the keys (two halves) by part, then key, and (part, from, to) in it."""
+    part = keys[:, 1] % np.uint64(parts)
+    order = np.lexsort((keys[:, 0], part))
     present, begin = np.unique(part[order], return_index=True)
     return order, list(zip(present.tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)][: len(present)], strict=True))
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts in the fewest of 1, 2, 4 or 8 bytes that hold all of them."""
-    most = int(counts.max(initial=0))
-    return counts.astype(next(d for d in ("<u1", "<u2", "<u4", "<u8") if most <= np.iinfo(d).max)).tobytes()
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on: planes of as many bytes as the largest needs, compressed."""
+    if not len(x):
+        return b""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + pa.Codec("zstd", 1).compress(planes, asbytes=True)
 
 
-def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64)
+def _spread(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint64)
+    out, width = np.zeros((n, 8), np.uint8), raw[0]
+    out[:, :width] = np.frombuffer(pa.Codec("zstd").decompress(raw[1:], n * width), np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
 
 
-#: What moves between blocks and parts: entries have keys and counts, a block's own row has what its scores need.
-_SENT = {"part": pa.int32(), "home": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "t": pa.binary(), "b": pa.binary(), "tokens": pa.binary(), "lengths": pa.binary(), "hashes": pa.binary(), "ids": pa.binary()}
-_SENT_SCHEMA = "part int, home int, block long, " + ", ".join(f"{c} binary" for c in list(_SENT)[3:])
+#: What moves between blocks and parts: entries have n keys and counts, a block's own row has what its scores need.
+_SENT = {"part": pa.int32(), "home": pa.int32(), "block": pa.int64(), "n": pa.int32(), **dict.fromkeys(("keys", "t", "b", "tokens", "lengths", "flags", "hashes", "ids"), pa.binary())}
+_SENT_SCHEMA = ", ".join(f"{c} {'binary' if kind == pa.binary() else 'long' if kind == pa.int64() else 'int'}" for c, kind in _SENT.items())
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kind) for c, kind in _SENT.items()], names=list(_SENT))
 
 
+def _hashes(words: Iterator[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in words), "<u8").reshape(-1, 2)
+
+
 def _sender(parts: int, counted: bool, asking: bool, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Entries of blocks for their parts: `counted` with the counts in the block, `asking` with a block number to send sums to."""
 
@@ -205,20 +164,20 @@ def _sender(parts: int, counted: bool, asking: bool, most: int) -> Callable[[Ite
         task = TaskContext.get().partitionId()
         for k, block in enumerate(_blocks(batches, most)):
             pairs, t, b = block.counts()
-            hashes = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in (b"", *block.words)), "<u8").reshape(-1, 2)
+            hashes = _hashes([b"", *block.words])
             keys = np.stack([_keys(hashes[:, h], pairs) for h in (0, 1)], axis=1)
-            order, slices = _dealt(keys[:, 0], parts)
-            keys, t, b = keys[order], t[order], b[order]
+            order, slices = _dealt(keys, parts)
+            keys, t, b = keys[order, 0], t[order], b[order]
             place = {"home": (task + 7919 * k) % parts, "block": task << 32 | k} if asking else {}
             if asking:
                 ids = pa.concat_arrays(block.ids)
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as out:
                     out.write_batch(pa.RecordBatch.from_arrays([ids], names=["id"]))
-                own = {"tokens": np.concatenate(block.x).tobytes(), "lengths": np.array(block.lengths, np.int64).tobytes(), "hashes": hashes[:, 0].tobytes(), "ids": sink.getvalue().to_pybytes()}
+                own = {"n": len(block.lengths), "tokens": _squeezed(np.concatenate(block.x)), "lengths": _squeezed(np.array(block.lengths)), "flags": np.array(block.flags, np.uint8).tobytes(), "hashes": hashes.tobytes(), "ids": sink.getvalue().to_pybytes()}
                 yield _rows([place | {"part": place["home"]} | own])
             for s in range(0, len(slices), 256):
-                yield _rows([place | {"part": p, "keys": keys[i:j].tobytes()} | ({"t": _packed(t[i:j]), "b": _packed(b[i:j])} if counted else {}) for p, i, j in slices[s : s + 256]])
+                yield _rows([place | {"part": p, "n": j - i, "keys": _squeezed(np.diff(keys[i:j], prepend=np.uint64(0)))} | ({"t": _squeezed(t[i:j]), "b": _squeezed(b[i:j])} if counted else {}) for p, i, j in slices[s : s + 256]])
 
     return send
 
@@ -232,48 +191,58 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if row["tokens"] is not None:
                 yield _rows([row])
                 continue
-            own = np.frombuffer(row["keys"], "<u8").reshape(-1, 2)
-            keys.append(own)
+            keys.append(np.cumsum(_spread(row["keys"], row["n"])))
             for held, c in ((t, "t"), (b, "b")):
-                held.append(np.zeros(len(own), np.int64) if row[c] is None else _unpacked(row[c], len(own)))
+                held.append(np.zeros(row["n"], np.int64) if row[c] is None else _spread(row[c], row["n"]).astype(np.int64))
             if row["block"] is not None:
-                asked.append(({c: row[c] for c in ("part", "home", "block")}, n, n + len(own)))
-            n += len(own)
+                asked.append(({c: row[c] for c in ("part", "home", "block", "n")}, n, n + row["n"]))
+            n += row["n"]
     if not asked:
         return
     every = np.concatenate(keys)
     keys.clear()
-    order = np.lexsort((every[:, 1], every[:, 0]))
-    every = every[order]
-    first = np.concatenate([[True], (every[1:] != every[:-1]).any(axis=1)])
+    order = np.argsort(every, kind="stable")
+    first = np.concatenate([[True], np.diff(every[order]) != 0])
+    del every
     begin, at = np.flatnonzero(first), np.empty(n, np.int64)
     at[order] = np.cumsum(first) - 1
     sums = [np.add.reduceat(np.concatenate(c)[order], begin) for c in (t, b)]
     for place, i, j in asked:
-        yield _rows([place | {"t": _packed(sums[0][at[i:j]]), "b": _packed(sums[1][at[i:j]])}])
+        yield _rows([place | {"t": _squeezed(sums[0][at[i:j]]), "b": _squeezed(sums[1][at[i:j]])}])
 
 
-def _scorer(model: tuple[int, tuple[int, int], tuple[int, int]], parts: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scorer(model: tuple[int, tuple[int, int], tuple[int, int]], parts: int, own_counts: bool, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     n_words, tokens, texts = model
-
-    def scored(own: dict, sums: dict[int, tuple[bytes, bytes]]) -> pa.RecordBatch:
-        x, lengths, hashes = (np.frombuffer(own[c], d) for c, d in (("tokens", "<u4"), ("lengths", "<i8"), ("hashes", "<u8")))
-        w = len(hashes) - 1
-        pairs, at = np.unique(_codes(x.astype(np.int64), lengths, w), return_inverse=True)
-        order, slices = _dealt(_keys(hashes, pairs), parts)
-        if set(sums) != {p for p, _, _ in slices}:
-            raise RuntimeError("a block's sums are of other parts than it asked")
-        means, some = [], np.flatnonzero(lengths)
+    least = 0.5 / max(1, tokens[1])
+
+    def scored(own: dict, sums: dict[int, tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        lengths, flags, hashes = _spread(own["lengths"], own["n"]).astype(np.int64), np.frombuffer(own["flags"], np.uint8), np.frombuffer(own["hashes"], "<u8").reshape(-1, 2)
+        x, w = _spread(own["tokens"], int(lengths.sum())).astype(np.int64), len(hashes) - 1
+        codes = _codes(x, lengths, w)
+        pairs, at = np.unique(codes, return_inverse=True)
+        order, slices = _dealt(np.stack([_keys(hashes[:, h], pairs) for h in (0, 1)], axis=1), parts)
+        if {p: n for p, (n, _, _) in sums.items()} != {p: j - i for p, i, j in slices}:
+            raise RuntimeError("a block's sums are of other entries than it asked for")
+        doc, head = np.repeat(np.arange(len(lengths)), lengths), codes // max(1, w)
+        some = np.flatnonzero(lengths)
+        first = (np.cumsum(lengths) - lengths)[some]
+        # how often the token's document has its pair, its word, and the word before (a text's start: once)
+        in_pair, in_word = (_times(doc * size + c) for size, c in ((len(pairs), at), (w, x)))
+        in_head = np.concatenate([[1], in_word[:-1]])[: len(x)]
+        in_head[first] = 1
+        means = []
         for k in (0, 1):
             counts = np.zeros(len(order), np.int64)
             for p, i, j in slices:
-                counts[order[i:j]] = _unpacked(sums[p][k], j - i)
-            single, heads = counts[:w], np.concatenate([[texts[k]], counts[:w]])
+                counts[order[i:j]] = _spread(sums[p][1 + k], j - i).astype(np.int64)
+            mine = (flags[doc] > 0 if k == 0 else np.ones(len(x), bool)) & own_counts
+            heads = np.concatenate([[texts[k]], counts[:w]])[head] - mine * in_head
+            share = (counts[w:][at] - mine * in_pair) / np.maximum(heads, 1)
+            alone = (counts[:w][x] - mine * in_word) / np.maximum(tokens[k] - mine * lengths[doc], 1)
+            loss = -np.log(0.5 * share + 0.5 * (alone + least) / (1 + least * (n_words + 1)))
             mean = np.zeros(len(lengths))
             if len(some):
-                share = counts[w:] / np.maximum(heads[pairs // w], 1)
-                loss = -np.log(0.5 * share + 0.5 * (single[pairs % w] + 0.5) / (tokens[k] + 0.5 * (n_words + 1)))
-                mean[some] = np.add.reduceat(loss[at], (np.cumsum(lengths) - lengths)[some]) / lengths[some]
+                mean[some] = np.add.reduceat(loss, first) / lengths[some]
             means.append(mean)
         ids = pa.ipc.open_stream(own["ids"]).read_all().column(0).combine_chunks()
         return pa.RecordBatch.from_arrays([ids, pa.array(lengths, pa.int64()), *(pa.array(m, pa.float64()) for m in (*means, means[0] - means[1]))], names=names)
@@ -286,33 +255,59 @@ def _scorer(model: tuple[int, tuple[int, int], tuple[int, int]], parts: int, nam
                 if row["tokens"] is not None:
                     blocks[row["block"]] = row
                 else:
-                    found.setdefault(row["block"], {})[row["part"]] = row["t"], row["b"]
-        for block, own in blocks.items():
+                    found.setdefault(row["block"], {})[row["part"]] = row["n"], row["t"], row["b"]
+        while blocks:
+            block, own = blocks.popitem()
             yield scored(own, found.pop(block, {}))
 
     return run
 
 
-def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = None, places: int | None = None) -> CorpusCounts | SharedModels:
+def _times(x: np.ndarray) -> np.ndarray:
+    """How often each number occurs, in its places."""
+    _, at, n = np.unique(x, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> CorpusCounts:
     """Models of all rows of docs, target being those whose id is in `target`. Null texts have no tokens; repeated rows count as
-    often as they occur. `size` or `places`: models of bounded size, see above."""
-    if size is not None or places is not None:
-        return bounded(docs, target, id_col, text_col, size or VOCABULARY, places or SLOTS)
+    often as they occur; an empty table and an empty target make models that know nothing."""
     marked = _marked(docs, target, id_col, text_col)
+    parts = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, BLOCK_TOKENS):
             lengths, flags = np.array(block.lengths), np.array(block.flags, bool)
-            words, some = list(block.words), lengths > 0
+            some, h = lengths > 0, _hashes([*block.words])
             sums = [int(lengths[flags].sum()), int(lengths.sum()), int((some & flags).sum()), int(some.sum())]
-            yield pa.RecordBatch.from_arrays([pa.array([None, *words], pa.binary()), *(pa.array([s] + [0] * len(words), pa.int64()) for s in sums)], names=["word", *sent])
+            part, key = (h[:, 1] % np.uint64(parts)).astype(np.int32), h[:, 0]
+            order = np.lexsort((key, part))
+            present, begin = np.unique(part[order], return_index=True)
+            own = [key[order[i:j]] for i, j in zip(begin, [*begin[1:], len(key)][: len(begin)], strict=True)]
+            # the block's sums go with a row of no keys
+            yield pa.RecordBatch.from_arrays([pa.array([0, *present.tolist()], pa.int32()), pa.array([0, *map(len, own)], pa.int64()), pa.array([b"", *(_squeezed(np.diff(k, prepend=np.uint64(0))) for k in own)], pa.binary()), *(pa.array([x] + [0] * len(own), pa.int64()) for x in sums)], names=["part", "n", "keys", *sent])
 
     sent = ["t", "b", "texts_t", "texts_b"]
-    words = marked.mapInArrow(count, "word binary, " + ", ".join(f"{c} long" for c in sent)).groupBy("word").agg(*(F.sum(c).alias(c) for c in sent))
-    r = words.agg(F.count("word").alias("n"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sent)).first()
+    longs = ", ".join(f"{c} long" for c in sent)
+    words = marked.mapInArrow(count, f"part int, n long, keys binary, {longs}").repartition("part").sortWithinPartitions("part").mapInArrow(_distinct, f"n long, {longs}")
+    r = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", *sent))).first()
     return CorpusCounts(docs, marked, r.n, (r.t, r.b), (r.texts_t, r.texts_b))
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a part at a time: how many distinct keys they have, and the sums of the rest."""
+    part, held, sums = None, np.zeros(0, np.uint64), [0] * 4
+    for batch in batches:
+        for r in range(batch.num_rows):
+            p, n, raw, *more = (c[r].as_py() for c in batch.columns)
+            if p != part:
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (len(held), *sums)], names=["n", "t", "b", "texts_t", "texts_b"])
+                part, held, sums = p, np.zeros(0, np.uint64), [0] * 4
+            held = np.union1d(held, np.cumsum(_spread(raw, n)))
+            sums = [a + b for a, b in zip(sums, more, strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (len(held), *sums)], names=["n", "t", "b", "texts_t", "texts_b"])
+
+
 def _marked(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text, target (whether the id is in `target`), a row for each of docs."""
     key, flag = fresh(docs, "key", "flag")
@@ -321,65 +316,17 @@ def _marked(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> D
     return docs.join(chosen, F.col(f"`{id_col}`") == F.col(key), "left").select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(flag).isNotNull().alias("target"))
 
 
-def bounded(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY, places: int = SLOTS) -> SharedModels:
-    """Models of the `size` most frequent words, pair counts sharing `places` places."""
-    words, marked = vocabulary(docs, text_col, size), _marked(docs, target, id_col, text_col).select("text", "target")
-    shared = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words)})
-    v = len(words) + 1
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums = shared.value, np.zeros((2, places + 1 + v), np.int64)
-        for batch in sliced(batches):
-            for target, text in zip(batch.column("target").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = words_of(text)
-                if not found:
-                    continue
-                x = np.fromiter(map(known.get, found, repeat(v - 1)), np.int64, len(found))
-                at = slots(np.concatenate([[-1], x[:-1]]), x, places)
-                for k in (0, 1) if target else (1,):
-                    np.add.at(sums[k], at, 1)
-                    np.add.at(sums[k], x + places + 1, 1)
-                    sums[k, places] += 1  # texts, so pairs that begin with the start
-        some = np.flatnonzero(sums[1])
-        for s in range(0, len(some), 1 << 18):
-            part = some[s : s + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums[0][part]), pa.array(sums[1][part])], names=["place", "t", "b"])
-
-    summed = marked.mapInArrow(count, "place long, t long, b long").groupBy("place").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    table = summed.toArrow()  # a row for each place at most
-    counts = np.zeros((2, places + 1 + v), np.float32)
-    for k, c in enumerate(("t", "b")):
-        counts[k, table.column("place").to_numpy()] = table.column(c).to_numpy()
-    return SharedModels(words, counts[:, places + 1 :].astype(np.float64), counts[:, : places + 1])
-
-
-def score(docs: DataFrame, models: CorpusCounts | SharedModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: id_col, n_tokens, ce_target, ce_background, difference (nats a token, 0 without tokens)."""
+def score(docs: DataFrame, models: CorpusCounts, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of docs: id_col, n_tokens, ce_target, ce_background, difference (nats a token, 0 without tokens, as null and
+    empty texts are). If docs are the models' own, each row is scored without its own counts, copies of it apart. A very long
+    text is a block of its own. Repeated rows are scored alike; other columns do not matter."""
     names = [id_col, "n_tokens", "ce_target", "ce_background", "difference"]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names[2:])])
-    if isinstance(models, SharedModels):
-        return _score_bounded(docs, models, id_col, text_col, names, schema)
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-models.tokens[1] // PART_TOKENS))
-    if docs is models.docs:
+    parts, own = max(docs.sparkSession.sparkContext.defaultParallelism, -(-models.tokens[1] // PART_TOKENS)), docs is models.docs
+    if own:
         sent = models.marked.mapInArrow(_sender(parts, True, True, BLOCK_TOKENS), _SENT_SCHEMA)
     else:
         asked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.lit(False).alias("target"))
         sent = models.marked.mapInArrow(_sender(parts, True, False, BLOCK_TOKENS), _SENT_SCHEMA).unionByName(asked.mapInArrow(_sender(parts, False, True, BLOCK_TOKENS), _SENT_SCHEMA))
     sums = sent.repartitionById(parts, F.col("part")).mapInArrow(_summed, _SENT_SCHEMA)
-    return sums.repartitionById(parts, F.col("home")).mapInArrow(_scorer((models.n_words, models.tokens, models.texts), parts, names), schema)
-
-
-def _score_bounded(docs: DataFrame, models: SharedModels, id_col: str, text_col: str, names: list[str], schema: T.StructType) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # size fixed by `size` and `places`
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            rows = []
-            for text in batch.column(1).to_pylist():
-                found = words_of(text)
-                t, b = shared.value.losses(found).mean(axis=1).tolist() if found else (0.0, 0.0)
-                rows.append((len(found), t, b, t - b))
-            n, t, b, d = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (t, b, d))], names=names)
-
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return sums.repartitionById(parts, F.col("home")).mapInArrow(_scorer((models.n_words, models.tokens, models.texts), parts, own, names), schema)
