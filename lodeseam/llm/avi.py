@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodeseam.llm.common import fresh
+from lodeseam.llm.common import batched, fresh
 
 SIDE, FPS, UNIT = 64, 25, 64
 
@@ -383,7 +383,7 @@ def store_media(docs: DataFrame, text_col: str = "text", media: str = "media") -
                 first += part
 
     chosen = docs.select(*(docs[f"`{f.name}`"] for f in others), docs[f"`{text_col}`"].alias(spare))
-    return chosen.mapInArrow(run, T.StructType([*others, T.StructField(media, T.BinaryType())]))
+    return batched(chosen).mapInArrow(run, T.StructType([*others, T.StructField(media, T.BinaryType())]))
 
 
 def _parts(sizes: list[int], most: int = 1 << 20) -> Iterator[int]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodeseam.llm.common import sliced
+from lodeseam.llm.common import batched, sliced
 from lodeseam.llm.encoders import ChunkCache, WordEncoder
 
 WINDOW = 16
@@ -116,4 +116,4 @@ def encode_chunked(docs: DataFrame, encoder: WordEncoder, id_col: str = "doc_id"
                     out, size, first = [], 0, k + 1
 
     kind = docs.schema[id_col].dataType
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))
+    return batched(docs.select(id_col, text_col)).mapInArrow(run, T.StructType([T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))

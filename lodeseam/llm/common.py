@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,21 +38,43 @@ def fresh(df_or_columns, *bases: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where a session names none it is a temporary one, but only in local mode, as in
+    tests; on a cluster that would be a folder that executors cannot see."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodeseam-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
     return named if re.match(r"\w+:/", named) else f"file://{named}"
 
 
+#: Arrow batches hold about so many bytes, unless the session names a bound of its own.
+BATCH_BYTES = "4m"
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """df, its session's Arrow batches bounded: by default one holds 10,000 rows, however long their texts are."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, "1b") == "1b":
+        conf.set(key, BATCH_BYTES)
+    return df
+
+
+def _give_back() -> None:
+    """What a worker has freed goes back to the system, so that idle workers do not add up."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches in parts, so that a worker holds Python copies of a few rows only; memory goes back at the end."""
     for batch in batches:
         for s in range(0, batch.num_rows, rows):
             yield batch.slice(s, rows)
-    pa.default_memory_pool().release_unused()
+    _give_back()
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseam.llm.common import fresh, sliced
+from lodeseam.llm.common import batched, fresh, sliced
 from lodeseam.llm.decontaminate import words_of
 
 #: Tokens of a block (a longer document is a block of its own), and tokens of the corpus for each part of the counts.
@@ -272,7 +272,7 @@ def _times(x: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> CorpusCounts:
     """Models of all rows of docs, target being those whose id is in `target`. Null texts have no tokens; repeated rows count as
     often as they occur; an empty table and an empty target make models that know nothing."""
-    marked = _marked(docs, target, id_col, text_col)
+    marked = batched(_marked(docs, target, id_col, text_col))
     parts = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

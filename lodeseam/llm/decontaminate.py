@@ -9,8 +9,8 @@ a longest match of 0 or 1 that needs no automaton, so only runs of known word pa
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseam.llm.common import WORD_BYTES, fresh, sha, sliced
+from lodeseam.llm.common import WORD_BYTES, batched, fresh, sha, sliced, staged
 
-#: An automaton holds at most so many item words; more items make more automata, which documents pass in turn.
-BLOCK_WORDS = 200_000
+#: An automaton holds about so many item words; more items make more automata, which documents pass in turn, so many in a worker.
+BLOCK_WORDS, AUTOMATA = 200_000, 4
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 #: Fixed value: the words of the raw text, for their places.
 RAW_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 FOUND = "n_words long, n_hit long, longest long, item_ids array<long>, spans array<struct<first:int,last:int>>"
@@ -154,66 +155,86 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
         yield block
 
 
+def _scanner(shared, text_col: str, first: bool) -> Step:
+    """Adds `found`, or what one more automaton finds to it."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton: SuffixAutomaton = shared.value
+        kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
+        for batch in sliced(batches):
+            rows = []
+            before = None if first else batch.column("found")
+            for i, text in enumerate(batch.column(text_col)):
+                words = words_of(text.as_py())
+                longest, spans, met = automaton.scan(words)
+                if before is not None and (old := before[i].as_py()):
+                    longest = max(longest, old["longest"])
+                    spans = [*spans, *((x["first"], x["last"]) for x in old["spans"])]
+                    met = met.union(old["item_ids"])
+                spans = merged(spans)
+                rows.append({"n_words": len(words), "n_hit": sum(e - s for s, e in spans), "longest": longest, "item_ids": sorted(x for x in met if x is not None), "spans": [{"first": s, "last": e} for s, e in spans]})
+            columns = [c for c, x in zip(batch.columns, batch.schema.names, strict=True) if x != "found"]
+            names = [x for x in batch.schema.names if x != "found"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, kind)], names=[*names, "found"])
+
+    return scan
+
+
+def _passed(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, last: Step | None = None) -> DataFrame:
+    """docs and `found`, or what `last` makes of them, which takes `found` away. AUTOMATA automata are passed in one worker; after
+    so many the documents are staged, so no worker ever holds more."""
+    found_type = T._parse_datatype_string(f"struct<{', '.join(':'.join(x.split(' ', 1)) for x in FOUND.split(', '))}>")
+    plain = T.StructType([f for f in docs.schema.fields if f.name != "found"])
+    schema = T.StructType([*plain.fields, T.StructField("found", found_type)])
+    blocks, out, k = _blocks(items, item_id, item_text), batched(docs.drop("found")), 0
+    group = list(islice(blocks, AUTOMATA))
+    while group:
+        then = list(islice(blocks, AUTOMATA))
+        steps = [_scanner(docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(x, window)), text_col, k + j == 0) for j, x in enumerate(group)]
+        steps += [last] if last and not then else []
+
+        def run(batches: Iterator[pa.RecordBatch], steps=steps) -> Iterator[pa.RecordBatch]:
+            for step in steps:
+                batches = step(batches)
+            return batches
+
+        out = out.mapInArrow(run, plain if last and not then else schema)
+        out, k, group = staged(out, "found") if then else out, k + len(group), then
+    return out
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """All rows and columns of docs plus `found`, a struct: n_words, n_hit (words inside any occurrence of an item's
     window), longest (longest match in words), item_ids (sorted), spans (merged, in words, last exclusive).
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window. Null or
     wordless texts have no words and no hits; wordless items have no windows; repeated items count once by id, and
-    an item without an id marks words but is not listed. A column `found` of docs is replaced. Documents are not
-    shuffled. The items are read in blocks of BLOCK_WORDS words, each a broadcast of bounded size.
+    an item without an id marks words but is not listed; item ids are integers. A column `found` of docs is replaced. Documents
+    are not shuffled. The items are read in blocks of BLOCK_WORDS words, each a broadcast of bounded size.
     """
-    spark, docs = docs.sparkSession, docs.drop("found")
-    found_type = T._parse_datatype_string(f"struct<{', '.join(':'.join(x.split(' ', 1)) for x in FOUND.split(', '))}>")
-    out, schema = docs, T.StructType([*docs.schema.fields, T.StructField("found", found_type)])
-    for k, block in enumerate(_blocks(items, item_id, item_text)):
-        shared = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, first=k == 0) -> Iterator[pa.RecordBatch]:
-            automaton: SuffixAutomaton = shared.value
-            kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
-            for batch in sliced(batches):
-                rows = []
-                before = None if first else batch.column("found")
-                for i, text in enumerate(batch.column(text_col)):
-                    words = words_of(text.as_py())
-                    longest, spans, met = automaton.scan(words)
-                    if before is not None and (old := before[i].as_py()):
-                        longest = max(longest, old["longest"])
-                        spans = [*spans, *((x["first"], x["last"]) for x in old["spans"])]
-                        met = met.union(old["item_ids"])
-                    spans = merged(spans)
-                    rows.append({"n_words": len(words), "n_hit": sum(e - s for s, e in spans), "longest": longest, "item_ids": sorted(x for x in met if x is not None), "spans": [{"first": s, "last": e} for s, e in spans]})
-                columns = [c for c, x in zip(batch.columns, batch.schema.names, strict=True) if x != "found"]
-                names = [x for x in batch.schema.names if x != "found"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, kind)], names=[*names, "found"])
-
-        out = out.mapInArrow(scan, schema)
-    return out
+    return _passed(docs, items, text_col, item_id, item_text, window)
 
 
 def item_digest(item_ids: Column) -> Column:
     return sha(F.array_join(F.array_sort(F.transform(item_ids, lambda x: x.cast("string"))), ","))
 
 
-def remove_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = 10, min_span: int = 10, max_coverage: float = 0.5, **more) -> DataFrame:
+def remove_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, min_span: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """The rows and columns of docs without what they share with the items.
 
     Marked spans of min_span words or more leave the text (with what stands between their words; one space takes
     their place), as do shorter spans that are whole items. A document whose marked words are over max_coverage of
-    all its words goes. Clean rows, null texts included, are as they were.
+    all its words goes. Clean rows, null texts included, are as they were; each row is judged alone, repeated ones alike.
     """
     (held,) = fresh(docs, "found")  # a column of that name is the caller's
-    found = find_contamination(docs.withColumnRenamed("found", held), items, text_col, window=window, **more)
-    hit = F.col("found.n_hit")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            at = batch.schema.names.index(text_col)
-            texts = []
+        for batch in batches:
+            at, texts, keep = batch.schema.names.index(text_col), [], []
             for text, f in zip(batch.column(at).to_pylist(), batch.column("found").to_pylist(), strict=True):
+                keep.append(f["n_hit"] == 0 or f["n_hit"] <= max_coverage * f["n_words"])
                 spans = [(x["first"], x["last"]) for x in f["spans"] if x["last"] - x["first"] >= min_span or x["last"] - x["first"] < window]
-                if spans:
+                if spans and keep[-1]:
                     places, parts, done = [m.span() for m in RAW_WORD.finditer(text)], [], 0
                     for s, e in spans:
                         parts += [text[done : places[s][0]], " "]
@@ -221,7 +242,6 @@ def remove_contamination(docs: DataFrame, items: DataFrame, text_col: str = "tex
                     text = "".join([*parts, text[done:]])
                 texts.append(text)
             columns = [pa.array(texts, c.type) if k == at else c for k, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns[:-1], names=batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
-    kept = found.where((hit == 0) | (hit <= max_coverage * F.col("found.n_words")))
-    return kept.mapInArrow(cut, T.StructType(kept.schema.fields[:-1])).withColumnRenamed(held, "found")
+    return _passed(docs.withColumnRenamed("found", held), items, text_col, item_id, item_text, window, cut).withColumnRenamed(held, "found")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseam.llm.common import fresh, share, sliced
+from lodeseam.llm.common import batched, fresh, share, sliced
 
 WINDOW, DEPTH, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
 #: Bounds of the labelled sample: documents of each language, windows of each document, languages (more than the world has).
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, net: ByteConvNet, text_col: str = "text") -> DataF
     net has learned no language; else one of the net's. A prediction sees nothing but the text, so equal texts get equal
     results; nothing is shuffled.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = batched(docs.drop("lang_pred", "score"))
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm.common import fresh, sliced, staged
+from lodeseam.llm.common import batched, fresh, sliced, staged
 
 K, BLOCK = 128, 512
 #: Sketch matches that a linked pair has but for once in about a million, for a threshold t: t less so many deviations.
@@ -310,7 +310,7 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     equal results; an empty table gives an empty result, and other columns of docs do not matter.
     """
     n_, id_ = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), F.col("id")
-    facts = staged(n_.mapInArrow(_describe(shingle), "id long, size long, h1 long, h2 long, tokens binary, sketch binary"), "sets")
+    facts = staged(batched(n_).mapInArrow(_describe(shingle), "id long, size long, h1 long, h2 long, tokens binary, sketch binary"), "sets")
     real = facts.where(id_.isNotNull() & (F.col("size") > 0))
     counted = staged(real.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("size").alias("size")), "classes")
     # a class is known by one number, made of its 128 bits anew until no two classes share it

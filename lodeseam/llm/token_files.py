@@ -22,7 +22,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm.common import fresh, shared_dir, sliced
+from lodeseam.llm.common import batched, fresh, shared_dir, sliced
 from lodeseam.llm.encoders import ByteEncoder
 
 BLOCK = 8192
@@ -177,7 +177,7 @@ def write_token_files(docs: DataFrame, folder: str, encoder: ByteEncoder, end_id
             writer.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "file": [rank], "n_ids": [writer.n], "n_docs": [len(writer.ends)]})
 
-    written = ordered.mapInArrow(write, "path string, file long, n_ids long, n_docs long").collect()  # a row for each file
+    written = batched(ordered).mapInArrow(write, "path string, file long, n_ids long, n_docs long").collect()  # a row for each file
     start, out = 0, []
     for r in sorted(written, key=lambda r: r.file):
         out.append((r.path, r.file, start, r.n_ids, r.n_docs))

@@ -62,6 +62,7 @@ def test_blocks_and_awkward(spark, monkeypatch):
     items = spark.createDataFrame([(1, "tie ONE two three four five six seven eight nine ten"), (2, None), (3, ""), (4, "École"), (None, "x"), (4, "école")], "item_id long, text string")
     whole = sorted(decontaminate.find_contamination(awkward(spark), items).collect(), key=repr)
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 3)
+    monkeypatch.setattr(decontaminate, "AUTOMATA", 1)
     assert sorted(decontaminate.find_contamination(awkward(spark), items).collect(), key=repr) == whole
     by = {r.doc_id: r.found for r in whole}
     assert (by[7].n_hit, by[7].item_ids, by[3].n_hit, by[3].item_ids, by[1].n_words, by[6].n_words) == (11, [1], 1, [], 0, 30_000)
