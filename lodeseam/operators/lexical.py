@@ -1,7 +1,7 @@
 """Lexical retrieval: an inverted index as DataFrames and BM25 over phrases.
 
 A batch of queries is scored in one plan. Query phrases are the small side (checked before they are broadcast), so the scan of
-the token table yields only rows of matching phrases, and what is shuffled is (query phrase, chunk, count).
+the token table yields only occurrences of them, shuffled once, by chunk: counts, weights and sums of a chunk stay together.
 """
 
 from __future__ import annotations
@@ -49,33 +49,39 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return p.where(F.size("phrase") > 0)
 
 
-def occurrences(tokens: Column, phrase: Column) -> Column:
-    """How often the phrase occurs as adjacent tokens."""
-    one = F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    many = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens) - F.size(phrase) + 1, F.lit(1))), lambda i: F.slice(tokens, i, F.size(phrase)) == phrase))
-    return F.when(F.size(phrase) == 1, one).when(F.size(tokens) < F.size(phrase), 0).otherwise(many)
+def matches(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
+    """chunk_id, dl, phrase, f: how often each of the distinct phrases (key, phrase, term: its first token) occurs in a chunk, as adjacent
+    tokens of one field. Only occurrences of a phrase's first token leave the scan, dealt by chunk. A phrase of the empty token is
+    in every chunk once, which no true token is."""
+    fields = tokens.select("chunk_id", "dl", F.explode(F.array(*FIELDS, F.array(F.lit("")))).alias("field"))
+    each = fields.select("chunk_id", "dl", "field", F.posexplode("field").alias("at", "term")).join(phrases, "term")
+    whole = (F.size("phrase") == 1) | (F.slice("field", F.col("at") + 1, F.size("phrase")) == F.col("phrase"))
+    return each.where(whole).select("chunk_id", "dl", "key").repartition("chunk_id").groupBy("chunk_id", "dl", "key").agg(F.count("*").alias("f"))
 
 
 def bm25(tokens: DataFrame, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, bm25 (negative, lower is better) and score = s / (1 + s) of every matching chunk.
 
     A chunk matches if it has any phrase of the query. `allowed` (chunk_id) filters after the statistics, which are always of all
-    chunks. Queries without tokens match nothing.
+    chunks. Queries without tokens match nothing. A phrase's weight in a chunk is worked out once, whatever the number of queries
+    that have it, and all that belongs to a chunk stays in its partition until the sums are made.
     """
-    phrases = query_phrases(queries)
-    distinct = phrases.select("phrase").distinct()
-    small = distinct.withColumn("term", F.col("phrase")[0])
-    small = F.broadcast(small) if small.count() <= BROADCAST_PHRASES else small
-    rows = tokens.select("chunk_id", "dl", *FIELDS, F.explode(F.array_distinct(F.concat(*FIELDS))).alias("term"))
-    found = rows.join(small, "term").select("chunk_id", "dl", "phrase", sum((occurrences(F.col(f), F.col("phrase")) for f in FIELDS), F.lit(0)).alias("f")).where("f > 0")
-    stats = corpus_stats(tokens)
-    df = found.groupBy("phrase").agg(F.count("*").alias("n"))
+    phrases = query_phrases(queries).withColumn("key", F.array_join("phrase", " "))  # tokens hold no blank
+    n = phrases.agg(F.count("*").alias("all")).first()["all"]
+    small = (lambda df: F.broadcast(df)) if n <= BROADCAST_PHRASES else (lambda df: df)
+    distinct = phrases.select("key", "phrase", F.col("phrase")[0].alias("term")).distinct()
+    whole = tokens.sparkSession.createDataFrame([("", [""], "")], distinct.schema)  # what it finds counts the chunks, so one scan does for all
+    found = matches(tokens, small(distinct.union(whole)))
+    df = found.groupBy("key").agg(F.count("*").alias("n"), F.sum("dl").alias("tokens"))
+    every = F.col("key") == ""
+    stats = df.agg(F.max(F.when(every, F.col("n"))).alias("total"), F.max(F.when(every, F.col("tokens") / F.col("n"))).alias("avgdl"))
     raw = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = df.crossJoin(F.broadcast(stats)).select("phrase", F.when(raw <= 0, FLOOR).otherwise(raw).alias("idf"), "avgdl")  # stats is one row
+    idf = df.select("key", "n").crossJoin(F.broadcast(stats)).select("key", F.when(raw <= 0, FLOOR).otherwise(raw).alias("idf"), "avgdl")  # stats is one row
     if allowed is not None:
         found = found.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
     weight = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = found.join(idf, "phrase").join(phrases, "phrase").groupBy("query_id", "chunk_id").agg((-F.sum(weight)).alias("bm25"))
+    weighted = found.join(small(idf), "key").select("chunk_id", "key", weight.alias("w"))
+    hits = weighted.join(small(phrases.select("query_id", "key")), "key").groupBy("query_id", "chunk_id").agg((-F.sum("w")).alias("bm25"))
     s = F.greatest(-F.col("bm25"), F.lit(0.0))
     return hits.withColumn("score", s / (1 + s))
 
