@@ -36,7 +36,7 @@ def _posts(spark: SparkSession, s: SourceConfig) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").option("recursiveFileLookup", True).load(s.path)
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.html$", "")
     docs = parse_posts(files.select(stem.alias("name"), F.decode("content", "UTF-8").alias("html")), "name")
-    return docs.where("error IS NULL").withColumn("content_hash", content_hash(F.col("text"))).withColumn("path", F.col("external_id"))
+    return docs.withColumn("content_hash", content_hash(F.col("text"))).withColumn("path", F.col("external_id"))
 
 
 def _pdf_names(spark: SparkSession, s: SourceConfig) -> DataFrame:

@@ -93,12 +93,24 @@ def test_stream(engine, tmp_path):
     assert [r.title for r in engine.store.read("documents").collect()] == ["A page"]
 
 
-def test_html_card_and_sections():
-    p = html.parse_post("forest", POST)
+def test_html_card_and_sections(spark):
+    bare = '<meta name="name" content="Bare"><div class="post-content"><h3>Deep</h3>one<h2></h2><h2>Top</h2><h3>Under</h3><pre> x <b>y</b></pre><h3>Next</h3>two</div>tail'
+    pages = spark.createDataFrame([("forest", POST), ("bare", bare), ("none", "<p>no body"), ("null", None)], "name string, html string")
+    got = {r.external_id: r for r in html.parse_posts(pages, "name").collect()}
+    p = got["forest"]
     assert (p["machine_name"], p["kind"], p["date"], p["os"], p["difficulty"], p["creator"], p["summary"], p["url"]) == ("Forest", "htb", "2020-03-21", "Windows", "Easy", "someone", "A domain.", "https://c.example/f")
     assert p["sections"] == ["Shell", "Root"] and p["categories"] == ["htb", "Windows", "Easy"]
     assert [c["section_path"] for c in p["chunks"]] == [["HTB: Forest"], ["HTB: Forest", "Shell"], ["HTB: Forest", "Shell", "Root"]]
-    assert p["chunks"][1]["text"] == "Shell\nRoast\ntickets: kerberoasting.\n```\nGetUsers -dc\n```"
+    assert p["chunks"][1]["text"] == "Shell\nRoast\ntickets: kerberoasting.\n```\nGetUsers -dc\n```" and [c["ordinal"] for c in p["chunks"]] == [0, 1, 2]
+    assert [(c["text"], c["section_path"][1:]) for c in got["bare"]["chunks"]] == [("Deep\none", ["Deep"]), ("Top", ["Top"]), ("Under\n```\nx y\n```\ny", ["Top", "Under"]), ("Next\ntwo", ["Top", "Next"])]
+    assert got["bare"]["title"] == "Bare" and got["bare"]["sections"] == ["Deep", "", "Top", "Under", "Next"] and got["bare"]["kind"] == "unknown"
+    assert (got["none"]["title"], got["none"]["text"], got["none"]["chunks"]) == ("none", "", []) and got["null"]["error"] and got["forest"]["error"] is None
+
+
+def test_html_text(spark):
+    page = "<head><title>t</title></head><nav>n</nav>a <b>b</b><!-- c --><br>d<p>e<script>f</script><div>g<style>h</style></div>i"
+    rows = spark.createDataFrame([(1, page), (2, None), (3, "")], "k long, html string")
+    assert [r.text for r in html.html_text(rows, "k").orderBy("k").collect()] == ["a b\nd\ne\ng\ni", "", ""]
 
 
 def test_staging(tmp_path, spark):
