@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseam.functions.text import token_estimate
@@ -10,7 +10,7 @@ from lodeseam.operators.chunking import markdown_chunks
 from lodeseam.operators.dedup import first_of_each
 from lodeseam.operators.graph import edges, entities, with_ids
 from lodeseam.operators.lexical import token_table
-from lodeseam.plans.store import Store
+from lodeseam.plans.store import Store, Written
 from lodeseam.sources.config import Settings, SourceConfig
 
 #: Chunk ids are doc_id times this plus the ordinal, so they are stable and need no counter.
@@ -64,58 +64,82 @@ def upsert_sources(sources: DataFrame, configs: list[SourceConfig]) -> DataFrame
     return sources.join(given, "source_id", "left_anti").unionByName(given.join(kept, "source_id", "left").select(*sources.columns))
 
 
+def one_of_each(parsed: DataFrame) -> DataFrame:
+    """Of rows of one name in a source the one of the least content hash, then title: the same whatever the order of files."""
+    (n,) = [next(c for c in ("_n", "_n_", "_n__") if c not in parsed.columns)]
+    w = Window.partitionBy("source_id", "external_id").orderBy("content_hash", "title")
+    return parsed.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
+
+
 def ingest(store: Store, parsed: DataFrame, source: SourceConfig, build_graph: bool = True, settings: Settings | None = None) -> dict[str, int]:
-    """Merge one source's parsed documents (external_id, title, url, path, categories, text, content_hash, and more) in one commit.
+    """Merge one source's parsed documents (external_id, title, url, path, categories, text, content_hash, and more).
 
-    Documents that are gone upstream stay. Nothing but counts is written when no document is new or changed. Returns the counts by status, of
-    chunks, and of parse errors.
+    All tables are written first and made visible by one commit at the end, so a run that breaks off leaves the store as it was
+    and the next one starts anew. Documents that are gone upstream stay. Nothing but the source's row is written when no document
+    is new or changed. If the graph cannot be built, the rest is committed with the old graph and `graph` says why. Returns the
+    counts by status, of chunks, and of parse errors.
     """
     errors = parsed.where("error IS NOT NULL").count() if "error" in parsed.columns else 0
     good = parsed.where("error IS NULL") if "error" in parsed.columns else parsed
     facts = [c for c in ("machine_name", "kind", "os", "difficulty", "summary", "date", "format") if c in good.columns]
     pairs = [x for c in facts for x in (F.lit(c), F.col(c).cast("string"))]
-    good = good.withColumn("metadata", F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.lit(None).cast("map<string,string>")).withColumn("source_id", F.lit(source.source_id)).dropDuplicates(["source_id", "external_id"])
+    good = one_of_each(good.withColumn("metadata", F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.lit(None).cast("map<string,string>")).withColumn("source_id", F.lit(source.source_id)))
     marked = classified(good, store.read("documents")).persist()
     try:
         counts = {r.status: r["count"] for r in marked.groupBy("status").count().collect()}
         changed = counts.get("new", 0) + counts.get("changed", 0)
         out = {"discovered": sum(counts.values()) + errors, "errors": errors, "chunks": 0, **{s: counts.get(s, 0) for s in ("new", "changed", "unchanged")}}
-        sources = upsert_sources(store.read("sources"), [source])
+        new = {"sources": store.write("sources", upsert_sources(store.read("sources"), [source]))}
         if not changed:
-            store.commit(sources=sources)
+            store.commit(**new)
             return out
-        store.commit(sources=sources, documents=merged_documents(marked, store.read("documents")))
-        documents = store.read("documents")
+        new["documents"] = store.write("documents", merged_documents(marked, store.read("documents")))
+        documents = new["documents"].rows
         texts = marked.where("status <> 'unchanged'").drop("doc_id", "status", "title", "categories").join(documents.select("doc_id", "source_id", "external_id", "title", "categories"), ["source_id", "external_id"])
-        old = store.read("chunks")
-        fresh = chunks_of(texts)
-        chunks = replaced(old, fresh, texts)
-        gone = old.join(texts.select("doc_id"), "doc_id", "left_semi").select("chunk_id")
-        store.commit(chunks=chunks, vectors=store.read("vectors").join(gone, "chunk_id", "left_anti"))
-        chunks = store.read("chunks")
-        out["chunks"] = chunks.join(texts.select("doc_id"), "doc_id", "left_semi").count()
-        new_tokens = token_table(chunks.join(texts.select("doc_id"), "doc_id", "left_semi").join(documents.select("doc_id", "title"), "doc_id"))
-        store.commit(tokens=store.read("tokens").join(gone, "chunk_id", "left_anti").unionByName(new_tokens))
+        touched, old = texts.select("doc_id"), store.read("chunks")
+        new["chunks"] = store.write("chunks", replaced(old, chunks_of(texts), touched))
+        gone, fresh = old.join(touched, "doc_id", "left_semi").select("chunk_id"), new["chunks"].rows.join(touched, "doc_id", "left_semi")
+        new["vectors"] = store.write("vectors", store.read("vectors").join(gone, "chunk_id", "left_anti"))
+        new["tokens"] = store.write("tokens", store.read("tokens").join(gone, "chunk_id", "left_anti").unionByName(token_table(fresh.join(documents.select("doc_id", "title"), "doc_id"))))
+        out["chunks"] = fresh.count()
         if build_graph:
-            rebuild_graph(store, settings.case_sources if settings else [])
+            try:
+                new |= graph_tables(store, documents, new["sources"].rows, new["chunks"].rows, settings.case_sources if settings else [])
+            except Exception as e:  # noqa: BLE001
+                out["graph"] = f"{type(e).__name__}: {e}"[:500]
+        store.commit(**new)
         return out
     finally:
         marked.unpersist()
 
 
-def graph_documents(store: Store) -> DataFrame:
+def graph_documents(documents: DataFrame, sources: DataFrame) -> DataFrame:
     """documents with what the graph looks at."""
-    d = store.read("documents").join(store.read("sources").select("source_id", F.col("name").alias("source_name")), "source_id", "left")
+    d = documents.join(sources.select("source_id", F.col("name").alias("source_name")), "source_id", "left")
     return d.withColumns({k: F.try_element_at("metadata", F.lit(k)) for k in ("machine_name", "kind", "os", "summary")})
 
 
+def graph_tables(store: Store, documents: DataFrame, sources: DataFrame, chunks: DataFrame, case_sources: list[str] | None = None) -> dict[str, Written]:
+    docs = graph_documents(documents, sources)
+    return {"entities": store.write("entities", with_ids(entities(docs, chunks, case_sources=case_sources), "entity_id", "entity_type", "name")), "edges": store.write("edges", edges(docs, chunks, case_sources=case_sources))}
+
+
 def rebuild_graph(store: Store, case_sources: list[str] | None = None, sources: list[str] | None = None) -> None:
     """All of the graph anew; with sources, from their documents only."""
-    docs = graph_documents(store)
+    docs = store.read("documents")
     docs = docs if sources is None else docs.where(F.col("source_id").isin(sources) if sources else F.lit(False))
-    chunks = store.read("chunks")
-    ents = with_ids(entities(docs, chunks, case_sources=case_sources), "entity_id", "entity_type", "name")
-    store.commit(entities=ents, edges=edges(docs, chunks, case_sources=case_sources))
+    store.commit(**graph_tables(store, docs, store.read("sources"), store.read("chunks"), case_sources))
+
+
+def delete_documents(store: Store, gone: DataFrame) -> None:
+    """Remove documents (doc_id) with their chunks, vectors, tokens and edges in one commit; an entity's evidence becomes null."""
+    ids = gone.select("doc_id").distinct()
+    own = store.read("chunks").join(ids, "doc_id", "left_semi").select("chunk_id")
+    out = {t: store.read(t).join(ids, "doc_id", "left_anti") for t in ("documents", "chunks", "edges")}
+    out |= {t: store.read(t).join(own, "chunk_id", "left_anti") for t in ("vectors", "tokens")}
+    ents, lost = store.read("entities"), ids.withColumn("lost", F.lit(True))
+    out["entities"] = ents.join(lost, "doc_id", "left").withColumn("doc_id", F.when(F.col("lost").isNull(), F.col("doc_id")))
+    store.commit(**out)
 
 
 def rebuild_index(store: Store) -> None:

@@ -87,10 +87,37 @@ def test_stream(engine, tmp_path):
 
     os.makedirs(tmp_path / "flat")
     (tmp_path / "flat" / "a.md").write_text("# A page\n\nof words")
+    for folder in ("one", "two", "images"):
+        os.makedirs(tmp_path / "flat" / folder)
+        (tmp_path / "flat" / folder / "same.md").write_text(f"# In {folder}\n\nof words")
     source = SourceConfig("flat", "markdown", path=str(tmp_path / "flat"))
     for _ in range(2):
         markdown_stream(engine.spark, engine.store, source, str(tmp_path / "cp")).awaitTermination()
-    assert [r.title for r in engine.store.read("documents").collect()] == ["A page"]
+    assert {(r.external_id, r.title, *r.categories) for r in engine.store.read("documents").collect()} == {("a.md", "A page"), ("one/same.md", "In one", "One"), ("two/same.md", "In two", "Two")}
+
+
+def test_a_broken_ingest_leaves_nothing(engine, monkeypatch):
+    from lodeseam.plans import ingest as plan
+
+    def broken(*_, **__):
+        raise RuntimeError("executor lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(plan, "token_table", broken)
+        with pytest.raises(RuntimeError):
+            engine.ingest()
+    assert engine.store.version == 0 and engine.store.read("documents").count() == 0
+    with monkeypatch.context() as m:
+        m.setattr(plan, "edges", broken)
+        assert "executor lost" in engine.ingest()["book"]["graph"]
+    assert engine.store.version == 1 and engine.store.read("chunks").count() == 9 and engine.store.read("edges").count() == 0
+    plan.rebuild_graph(engine.store)
+    gone = engine.store.read("documents").where("external_id = 'ad/roasting.md'")
+    some = gone.first().doc_id
+    assert engine.store.read("edges").where(F.col("doc_id") == some).count() > 0
+    plan.delete_documents(engine.store, gone)
+    assert all(engine.store.read(t).where(F.col("doc_id") == some).isEmpty() for t in ("documents", "chunks", "edges", "entities"))
+    assert engine.store.read("tokens").count() == engine.store.read("chunks").count() > 0
 
 
 def test_html_card_and_sections(spark):
