@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeseam.llm.common import batched, fresh
@@ -202,7 +203,7 @@ _heads = lru_cache(256)(_Head)
 def decode_blocks(head: _Head, scans: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
     """Quantised DC coefficients (frames by blocks in scan order) and the others as (frame, block, place, value)."""
     if head.restart:
-        raise ValueError("restart intervals are decoded by decode_frames")
+        raise ValueError("restart intervals are not supported")
     n, blocks = len(scans), len(head.order) * head.mcus[0] * head.mcus[1]
     width = max(map(len, scans)) + 8
     data = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in scans), np.uint8)
@@ -399,39 +400,85 @@ def _parts(sizes: list[int], most: int = 1 << 20) -> Iterator[int]:
 
 
 CLIPS = "clips array<struct<clip:int,first_frame:int,last_frame:int,start_s:double,end_s:double,level:double>>"
+CLIP_TYPE = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("last_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("level", pa.float64())]))
 
 
 def read_media(docs: DataFrame, media: str = "media") -> DataFrame:
-    """All rows and columns of docs with stored payloads, plus `payload` (the samples read back) and `clips`, the timed shots with
-    their mean level. Null media gives nulls."""
-    kind = T._parse_datatype_string(f"payload binary, {CLIPS}")
+    """All rows and columns of docs plus `clips`, the timed shots with their mean level, `payload`, the samples read back, and
+    `media_error`.
+
+    Files of store_media give all of their samples as payload. Other AVI files of baseline motion-JPEG give clips of their luma and
+    a null payload. A file that cannot be read (broken, no AVI, progressive frames or frames with restart intervals, which are
+    not supported) gives nulls and the reason, and stops no other; null media gives nulls and no reason. Columns of these names
+    are replaced.
+    """
+    kind = T._parse_datatype_string(f"payload binary, {CLIPS}, media_error string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = batch.column(media).to_pylist()
-            first = 0
+            files, first = batch.column(media).to_pylist(), 0
             for part in _parts([len(f or b"") for f in files], 4 << 20):
-                read = [read_avi(f) if f is not None else (FPS, []) for f in files[first : first + part]]
-                frames = [x for _, fs in read for x in fs]
-                levels = stored_samples(frames) if frames else np.zeros((0, UNIT), np.uint8)
-                hist, at, samples, clips = histograms(levels) if frames else None, 0, [], []
-                for f, (fps, fs) in zip(files[first : first + part], read, strict=True):
-                    own = levels[at : at + len(fs)]
-                    samples.append(None if f is None else own.tobytes())
-                    clips.append(None if f is None else _clips(own, hist[at : at + len(fs)] if len(fs) else np.zeros((0, 16)), fps))
-                    at += len(fs)
-                arrays = [pa.array(samples, pa.binary()), pa.array(clips, CLIP_TYPE)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(first, part) for c in batch.columns), *arrays], names=[*batch.schema.names, "payload", "clips"])
+                rows = _read(files[first : first + part])
+                arrays = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.binary(), CLIP_TYPE, pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, part) for c in batch.columns), *arrays], names=[*batch.schema.names, "payload", "clips", "media_error"])
                 first += part
 
-    docs = docs.drop("payload", "clips")
+    docs = docs.drop("payload", "clips", "media_error")
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *kind.fields]))
 
 
-CLIP_TYPE = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("last_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("level", pa.float64())]))
+def clip_rows(read: DataFrame) -> DataFrame:
+    """A row for each clip of read_media's result: its other columns, then clip, first_frame, last_frame, start_s, end_s, level.
+    Columns of these names are replaced; files without clips give no row."""
+    names = [f.name for f in CLIP_TYPE.value_type]
+    (held,) = fresh(read, "clip")
+    rest = [c for c in read.columns if c not in ("payload", "clips", "media_error", *names)]
+    return read.select(*(F.col(f"`{c}`") for c in rest), F.explode("clips").alias(held)).select(*(F.col(f"`{c}`") for c in rest), f"{held}.*")
+
+
+def _read(files: list[bytes | None]) -> list[tuple[bytes | None, list[dict] | None, str | None]]:
+    """payload, clips, error of each file; the frames that store_media has made are decoded together."""
+    out: list = [(None, None, None)] * len(files)
+    own: list[tuple[int, float, list[bytes]]] = []
+    for k, f in enumerate(files):
+        if f is None:
+            continue
+        try:
+            fps, frames = read_avi(f)
+            if all(x.startswith(FRAME_HEAD) for x in frames):
+                own.append((k, fps, frames))
+            else:
+                out[k] = None, _clips(*_looked_at(frames), fps), None
+        except Exception as e:  # noqa: BLE001
+            out[k] = None, None, f"{type(e).__name__}: {e}"
+    try:
+        levels = stored_samples([x for _, _, frames in own for x in frames]) if any(x[2] for x in own) else np.zeros((0, UNIT), np.uint8)
+    except Exception as e:  # noqa: BLE001
+        if len(own) > 1:  # one of them is broken
+            for k, _, _ in own:
+                out[k] = _read([files[k]])[0]
+        else:
+            out[own[0][0]] = None, None, f"{type(e).__name__}: {e}"
+        return out
+    hist, means, at = histograms(levels), levels.mean(axis=1), 0
+    for k, fps, frames in own:
+        to = at + len(frames)
+        out[k] = levels[at:to].tobytes(), _clips(hist[at:to], means[at:to], fps), None
+        at = to
+    return out
+
+
+def _looked_at(frames: list[bytes], pixels: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Histograms and mean levels of frames, decoded a few at a time."""
+    hist, means, k, step = [], [], 0, 1
+    while k < len(frames):
+        for picture in (some := decode_frames(frames[k : k + step])):
+            hist.append(histograms(picture.reshape(1, -1))[0])
+            means.append(picture.mean())
+        k, step = k + step, max(1, pixels // some[-1].size)
+    return np.array(hist), np.array(means)
 
 
-def _clips(levels: np.ndarray, hist: np.ndarray, fps: float) -> list[dict]:
+def _clips(hist: np.ndarray, means: np.ndarray, fps: float) -> list[dict]:
     starts = shots(hist).tolist()
-    means = levels.reshape(len(levels), -1).mean(axis=1) if len(levels) else []
-    return [{"clip": k, "first_frame": s, "last_frame": e - 1, "start_s": s / fps, "end_s": e / fps, "level": float(np.mean(means[s:e]))} for k, (s, e) in enumerate(zip(starts, [*starts[1:], len(levels)], strict=True))]
+    return [{"clip": k, "first_frame": s, "last_frame": e - 1, "start_s": s / fps, "end_s": e / fps, "level": float(np.mean(means[s:e]))} for k, (s, e) in enumerate(zip(starts, [*starts[1:], len(hist)], strict=True))]

@@ -25,9 +25,9 @@ def test_frames_round_trip_and_pixels():
     assert avi.read_avi(data[: data.rindex(b"idx1")])[1] == frames
 
 
-def test_general_baseline_frame():
-    """A frame of three components, 2 by 1 luma, with AC coefficients, coded here the slow way."""
-    rng = np.random.default_rng(4)
+def foreign_frame(seed, mean=0):
+    """A frame of three components, 2 by 1 luma, with AC coefficients, coded here the slow way, and its luma coefficients."""
+    rng = np.random.default_rng(seed)
     dc = {s: f"{c:0{n}b}" for c, n, s in avi.codes(avi.DC_COUNTS, bytes(range(12)))}
     ac = {s: f"{c:0{n}b}" for c, n, s in avi.codes(avi.AC_COUNTS, avi.AC_SYMBOLS)}
     low = lambda v: "" if not v else f"{v if v > 0 else v + (1 << abs(v).bit_length()) - 1:0{abs(v).bit_length()}b}"
@@ -35,7 +35,7 @@ def test_general_baseline_frame():
     for _ in range(2):  # two MCUs
         for part in (0, 0, 1, 2):
             z = np.zeros(64, int)
-            z[0] = rng.integers(-60, 60)
+            z[0] = mean + rng.integers(-60, 60)
             for k in rng.choice(np.arange(1, 64), 4, replace=False):
                 z[k] = rng.integers(-9, 10)
             d, pred[part] = int(z[0]) - pred[part], int(z[0])
@@ -60,7 +60,12 @@ def test_general_baseline_frame():
     import struct
 
     head = b"\xff\xd8" + avi._segment(0xDB, bytes([0, *range(3, 67)])) + avi._segment(0xC0, struct.pack(">BHHB9B", 8, 8, 32, 3, 1, 0x21, 0, 2, 0x11, 0, 3, 0x11, 0)) + avi._segment(0xDA, bytes([3, 1, 0, 2, 0x11, 3, 0x11, 0, 63, 0]))
-    got = avi.decode_frames([head + scan + b"\xff\xd9"] * 2)[1]
+    return head + scan + b"\xff\xd9", luma
+
+
+def test_general_baseline_frame():
+    frame, luma = foreign_frame(4)
+    got = avi.decode_frames([frame] * 2)[1]
     for k, z in enumerate(luma):
         c = np.zeros(64)
         c[avi.ZIGZAG] = z * np.arange(3, 67)
@@ -88,6 +93,24 @@ def test_op6_query(spark):
         assert (x.media_bytes, x.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and x.feature
 
 
+def test_files_of_other_makes(spark):
+    """Foreign frames give clips of their luma, broken files a reason; neither stops the files beside them."""
+    dark, light = ([foreign_frame(k, m)[0] for k in range(n)] for m, n in ((-250, 20), (250, 12)))
+    good = avi.write_avi(avi.encode_frames(np.zeros((3, 64), np.uint8)))
+    broken = bytearray(good)
+    at = good.index(b"\xff\xda")
+    broken[at + 10 : at + 14] = b"\xff\xff\xff\xff"
+    rows = [(1, avi.write_avi(dark + light)), (2, b"RIFFnothing"), (3, good), (4, good[: len(good) // 2]), (5, None), (6, b""), (7, bytes(broken)), (8, good)]
+    read = avi.read_media(spark.createDataFrame(rows, "doc_id long, media binary").coalesce(1))
+    got = {r.doc_id: r for r in read.collect()}
+    assert [(c.first_frame, c.last_frame) for c in got[1].clips] == [(0, 19), (20, 31)] and got[1].payload is None and got[1].clips[0].level < 100 < got[1].clips[1].level
+    assert all(bytes(got[k].payload) == bytes(192) and got[k].media_error is None for k in (3, 8)) and (got[5].clips, got[5].media_error) == (None, None)
+    assert got[2].media_error or got[2].clips == []
+    assert all(got[k].payload is None or bytes(got[k].payload) != bytes(192) for k in (2, 4, 6)) and len(got) == 8
+    clips = avi.clip_rows(read).where("doc_id = 1").orderBy("clip").collect()
+    assert [(r.clip, r.start_s, r.end_s) for r in clips] == [(0, 0.0, 20 / 25), (1, 20 / 25, 32 / 25)]
+
+
 def test_awkward(spark):
     rows = avi.read_media(avi.store_media(awkward(spark, more=("pos", "payload", "media", "text2")))).collect()
     assert len(rows) == 10 and {bytes(r.payload) for r in rows if r.doc_id in (1, 2)} == {bytes(64)}
