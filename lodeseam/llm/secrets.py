@@ -23,22 +23,31 @@ HEX = r"[0-9a-f]{16,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Bounds of the labelled samples: generated random strings, documents that ordinary identifiers come from.
-SAMPLE_STRINGS, SAMPLE_DOCS = 3000, 1500
+#: Bounds of the labelled samples: generated random strings, documents that ordinary identifiers come from, words of each.
+SAMPLE_STRINGS, SAMPLE_DOCS, SAMPLE_WORDS = 3000, 1500, 400
 
 
-def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strings: int = SAMPLE_STRINGS, documents: int = SAMPLE_DOCS) -> DataFrame:
-    """value, random: digests in hexadecimal, base 64 and capitals; and words of the documents with the smallest id hashes,
-    alone and joined as identifiers are."""
+def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strings: int = SAMPLE_STRINGS, documents: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> DataFrame:
+    """value, random: digests in hexadecimal, base 64 and capitals; and words of the documents with the smallest id hashes, those of
+    the smallest hashes in each whole text, alone and joined as identifiers are: by _, -, / and +, in camel case, with digits.
+    An empty table gives random strings only."""
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256)
     forms = F.array(digest, F.regexp_replace(F.base64(F.unhex(digest)), "=", ""), F.upper(F.substring(F.regexp_replace(F.base64(F.unhex(digest)), "[^A-Za-z0-9]", ""), 1, 20)))
     positive = spark.range(strings).select(F.explode(forms).alias("value"), F.lit(True).alias("random"))
     ids = smallest_hashes(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id")), documents)
-    some = docs.select(F.col(id_col).alias("id"), F.substring(text_col, 1, 4000).alias("t")).join(F.broadcast(ids), "id").groupBy("id").agg(F.min("t").alias("t"))
-    words = F.array_distinct(F.regexp_extract_all("t", F.lit("[A-Za-z]{4,}"), F.lit(0)))
-    joined = F.transform(F.col("w"), lambda x, i: F.when(i % 3 == 0, F.concat(x, F.lit("_"), F.element_at("w", -1))).when(i % 3 == 1, F.concat(F.lower(x), F.initcap(F.element_at("w", 1)))).otherwise(x))
-    negative = some.select(words.alias("w")).where(F.size("w") > 0).select(F.explode(joined).alias("value"), F.lit(False).alias("random"))
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(ids), "id").groupBy("id").agg(F.min("t").alias("t"))
+    every = F.array_distinct(F.regexp_extract_all("t", F.lit("[A-Za-z]{4,}"), F.lit(0)))
+    least = F.transform(F.slice(F.array_sort(F.transform(every, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), 1, words), lambda s: s["x"])
+    mark = F.array(*map(F.lit, "_-/+"))
+
+    def written(x: Column, i: Column) -> Column:
+        next_ = F.coalesce(F.get("w", i + 1), F.element_at("w", 1))
+        split, camel, numbered = F.concat(x, F.get(mark, F.pmod(F.floor(i / 4), F.lit(4)).cast("int")), next_), F.concat(F.lower(x), F.initcap(next_)), F.concat(F.lower(x), (i % 100).cast("string"))
+        return F.when(i % 4 == 0, split).when(i % 4 == 1, camel).when(i % 8 == 2, numbered).otherwise(x)
+
+    joined = F.transform(F.col("w"), written)
+    negative = some.select(least.alias("w")).where(F.size("w") > 0).select(F.explode(joined).alias("value"), F.lit(False).alias("random"))
     return positive.unionByName(negative)
 
 

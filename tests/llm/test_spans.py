@@ -67,6 +67,16 @@ def test_markov_held_out(spark):
     assert [r.v for r in scored if not r.random and r.r >= 0.6] == []
 
 
+def test_trained_on_awkward_and_empty_tables(spark):
+    for docs in (awkward(spark), empty(spark)):
+        table = secrets.train_markov(secrets.labelled_samples(docs))
+        assert len(table) == 128 * 128 and secrets.find_secrets(docs, table).count() == docs.count()
+    out = secrets.find_secrets(awkward(spark, more=("secrets", "text", "base")[:1]), table)
+    assert out.columns == ["doc_id", "text", "lang", "secrets"] and out.count() == 10
+    deep = [(1, "plain " * 2000 + "deeperidentifier", "en")]
+    assert any("deeperidentifier" in r.value.lower() for r in secrets.labelled_samples(awkward(spark, deep)).where("NOT random").collect())
+
+
 def test_spans_awkward(spark):
     out = secrets.find_secrets(awkward(spark), None)
     assert out.count() == 10 and out.columns[-1] == "secrets" and secrets.find_secrets(empty(spark), None).count() == 0
