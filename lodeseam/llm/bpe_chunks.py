@@ -2,13 +2,14 @@
 
 A rolling hash over the last 16 bytes cuts texts where their content says so: a passage that documents share gives the
 same chunks wherever it stands. A chunk's whole words (from its first blank to its last) are encoded once and kept; then
-each join, from the last blank before a cut to the first one after it, is encoded anew. The encoder drops white space
-and no token spans it, so the parts agree exactly with the whole text's encoding. A chunk without a blank is all join, and
-the join grows until it meets a blank on either side.
+each join, from the last blank before a cut to the first one after it, is repaired: it is encoded anew together with words on
+either side, more and more of them, until the ids at both ends agree exactly with those of the chunks beside it. If all words
+of both chunks are used up without agreement, the whole text is encoded. A chunk without a blank is all join.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ from lodeseam.llm.encoders import ChunkCache, WordEncoder
 WINDOW = 16
 _GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 _BLANK = b" \t\n\x0b\x0c\r"
+_WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
 
 
 def cuts(data: np.ndarray, mean: int = 1024, step: int = 1 << 22) -> np.ndarray:
@@ -47,29 +49,70 @@ def _last_blank(x: bytes) -> int:
     return max(x.rfind(b) for b in _BLANK)
 
 
+def _words(part: bytes, n: int, last: bool) -> bytes:
+    """The first or last n words of a part with the blanks between them; all of it if it has no more."""
+    size = 64 * n
+    while True:
+        piece = part[-size:] if last else part[:size]
+        whole = len(piece) == len(part)
+        words = piece.split()
+        if whole and len(words) <= n:
+            return part
+        if len(words) > n:  # the outermost one may be cut
+            at = [m.start() for m in _WORD.finditer(piece)] if last else [m.end() for m in _WORD.finditer(piece)]
+            return piece[at[-n] :] if last else piece[: at[n - 1]]
+        size *= 4
+
+
 class ChunkedCoder:
-    """One in a Python worker; its cache of chunks is bounded in bytes."""
+    """One in a task; its cache of chunks is bounded in bytes. `widened` counts joins that needed more than a word on each side,
+    `whole` texts that had to be encoded as they are."""
 
     def __init__(self, encoder: WordEncoder, cache_bytes: int = 48 << 20) -> None:
-        self.encoder, self.cache, self.hits, self.misses = encoder, ChunkCache(cache_bytes), 0, 0
+        self.encoder, self.cache, self.hits, self.misses, self.widened, self.whole = encoder, ChunkCache(cache_bytes), 0, 0, 0, 0
+        self._known: dict[bytes, bytes] = {}  # ids of the few words beside joins
         self.table, self.between = encoder.decode_table()
 
-    def _plain(self, part: bytes) -> tuple[bytes, bytes]:
-        ids = self.encoder.encode(part.decode("utf-8"))
-        return ids.astype("<u4").tobytes(), self.between.join(map(self.table.__getitem__, ids.tolist()))
+    def _ids(self, part: bytes) -> bytes:
+        return self.encoder.encode(part.decode("utf-8")).astype("<u4").tobytes()
+
+    def _text(self, ids: bytes) -> bytes:
+        return self.between.join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+    def _beside(self, part: bytes) -> bytes:
+        if (ids := self._known.get(part)) is None:
+            if len(self._known) >= 50_000:
+                self._known.clear()
+            ids = self._known[part] = self._ids(part)
+        return ids
 
     def _core(self, part: bytes) -> tuple[bytes, bytes]:
         if (x := self.cache.get(part)) is not None:
             self.hits += 1
             return x[0], x[1]
         self.misses += 1
-        ids, text = self._plain(part)
+        ids = self._ids(part)
+        text = self._text(ids)
         self.cache.put(part, (ids, text, size := len(ids) + len(text) + len(part) + 300), size)
         return ids, text
 
+    def _join(self, left: tuple[bytes, bytes], middle: bytes, right: tuple[bytes, bytes]) -> bytes | None:
+        """Ids of the join between two parts (text, ids), once those beside it agree; None if they never do."""
+        n = 1
+        while True:
+            a, b = _words(left[0], n, True), _words(right[0], n, False)
+            before, after, whole = self._beside(a), self._beside(b), self._ids(a + middle + b)
+            if len(whole) >= len(before) + len(after) and whole.startswith(before) and whole.endswith(after) and left[1].endswith(before) and right[1].startswith(after):
+                return whole[len(before) : len(whole) - len(after)]
+            if len(a) == len(left[0]) and len(b) == len(right[0]):
+                return None
+            self.widened += 1
+            n *= 2
+
     def code(self, data: bytes, at: list[int]) -> tuple[bytes, bytes]:
         """Ids (u32, little-endian) and decoded UTF-8 of a text that is cut at those places."""
-        ids, text, join, start = [], [], [], 0
+        # the text as join, core, join, core, ..., join
+        joins, cores, join, start = [], [], [], 0
         for end in [*at, len(data)]:
             chunk = data[start:end]
             start = end
@@ -77,25 +120,32 @@ class ChunkedCoder:
                 join.append(chunk)
                 continue
             j = _last_blank(chunk)
-            for part, coder in ((b"".join([*join, chunk[:i]]), self._plain), (chunk[i:j], self._core)):
-                a, b = coder(part) if part and not part.isspace() else (b"", b"")
-                if a:
-                    ids.append(a)
-                    text.append(b)
+            joins.append(b"".join([*join, chunk[:i]]))
+            cores.append(chunk[i:j])
             join = [chunk[j:]]
-        a, b = self._plain(b"".join(join))
-        if a:
-            ids.append(a)
-            text.append(b)
-        return b"".join(ids), self.between.join(text)
+        joins.append(b"".join(join))
+        coded = [(b"", b"", b""), *((x, *self._core(x)) if x and not x.isspace() else (x, b"", b"") for x in cores), (b"", b"", b"")]
+        ids, text = [], []
+        for k, middle in enumerate(joins):
+            (left, a, _), (right, b, told) = coded[k], coded[k + 1]
+            if middle and not middle.isspace():
+                if (own := self._join((left, a), middle, (right, b))) is None:
+                    self.whole += 1
+                    whole = self._ids(data)
+                    return whole, self._text(whole)
+                ids.append(own)
+                text.append(self._text(own))
+            ids.append(b)
+            text.append(told)
+        return b"".join(ids), self.between.join(x for i, x in zip(ids, text, strict=True) if i)
 
 
 def encode_chunked(docs: DataFrame, encoder: WordEncoder, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = 48 << 20) -> DataFrame:
     """A row for each row of docs: the id, n_tokens, ids (u32 little-endian) and decoded (text of those ids).
 
     Null text is empty: no tokens, empty text. Rows are independent, so ids may be null or repeat, and other columns of
-    docs do not matter. Nothing is shuffled; chunks are shared by the documents that a Python worker meets, and a lost
-    worker only loses its cache.
+    docs do not matter. Nothing is shuffled; chunks are shared by the documents of a task, and a lost
+    worker only loses its cache. A very long text is coded chunk by chunk.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
