@@ -44,12 +44,14 @@ def chunks_of(docs: DataFrame) -> DataFrame:
     structure; in a document each normalized text once."""
     path = F.concat(F.coalesce("categories", F.array().cast("array<string>")), F.array("title"))
     has = "chunks" in docs.columns
-    own = docs.where("size(chunks) > 0").select("doc_id", F.explode("chunks").alias("c")).select("doc_id", "c.ordinal", "c.text", "c.section_path", "c.kind") if has else None
+    paged = has and "page" in docs.schema["chunks"].dataType.elementType.names
+    page = (F.col("c")["page"] if paged else F.lit(None)).cast("int").alias("page")
+    own = docs.where("size(chunks) > 0").select("doc_id", F.explode("chunks").alias("c")).select("doc_id", "c.ordinal", "c.text", "c.section_path", "c.kind", page) if has else None
     rest = docs.where("coalesce(size(chunks), 0) <= 0") if has else docs
-    made = markdown_chunks(rest.withColumn("_path", path), path_col="_path").select("doc_id", "ordinal", "text", "section_path", "kind")
+    made = markdown_chunks(rest.withColumn("_path", path), path_col="_path").select("doc_id", "ordinal", "text", "section_path", "kind", F.lit(None).cast("int").alias("page"))
     both = made if own is None else made.unionByName(own)
     first = first_of_each(both).join(docs.select("doc_id", "source_id"), "doc_id")
-    return first.select((F.col("doc_id") * CHUNKS_PER_DOCUMENT + F.col("ordinal")).alias("chunk_id"), "doc_id", "source_id", F.col("ordinal").cast("int").alias("ordinal"), "text", "section_path", F.lit(None).cast("int").alias("page"), "kind", token_estimate(F.col("text")).cast("int").alias("token_estimate"), "content_hash")
+    return first.select((F.col("doc_id") * CHUNKS_PER_DOCUMENT + F.col("ordinal")).alias("chunk_id"), "doc_id", "source_id", F.col("ordinal").cast("int").alias("ordinal"), "text", "section_path", "page", "kind", token_estimate(F.col("text")).cast("int").alias("token_estimate"), "content_hash")
 
 
 def replaced(rows: DataFrame, new: DataFrame, touched: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -81,7 +83,7 @@ def ingest(store: Store, parsed: DataFrame, source: SourceConfig, build_graph: b
     """
     errors = parsed.where("error IS NOT NULL").count() if "error" in parsed.columns else 0
     good = parsed.where("error IS NULL") if "error" in parsed.columns else parsed
-    facts = [c for c in ("machine_name", "kind", "os", "difficulty", "summary", "date", "format") if c in good.columns]
+    facts = [c for c in ("machine_name", "kind", "os", "difficulty", "summary", "date", "format", "page_count", "code_block_count", "author", "subject", "title_inferred") if c in good.columns]
     pairs = [x for c in facts for x in (F.lit(c), F.col(c).cast("string"))]
     good = one_of_each(good.withColumn("metadata", F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.lit(None).cast("map<string,string>")).withColumn("source_id", F.lit(source.source_id)))
     marked = classified(good, store.read("documents")).persist()

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lodeseam.functions.text import content_hash
 from lodeseam.sources.config import SourceConfig
 from lodeseam.sources.html import parse_posts
-from lodeseam.sources.markdown import read_markdown
-from lodeseam.sources.pdf import document_title, scan_pdfs
+from lodeseam.sources.markdown import read_markdown, under
+from lodeseam.sources.pdf import Decoder, parse_pdfs, scan_pdfs
 
 Reader = Callable[[SparkSession, SourceConfig], DataFrame]
 _readers: dict[str, Reader] = {}
@@ -39,11 +39,19 @@ def _posts(spark: SparkSession, s: SourceConfig) -> DataFrame:
     return docs.withColumn("content_hash", content_hash(F.col("text"))).withColumn("path", F.col("external_id"))
 
 
-def _pdf_names(spark: SparkSession, s: SourceConfig) -> DataFrame:
-    """Without a decoder only what the listing knows: path and title."""
-    t = document_title(F.lit(None).cast("string"), F.col("path"))
-    return scan_pdfs(spark, s.path, s.max_bytes, s.max_files).select(F.col("path").alias("external_id"), t["title"].alias("title"), F.lit(None).cast("string").alias("url"), "path", F.array().cast("array<string>").alias("categories"), F.lit("").alias("text"), F.lit(content_hash(F.lit(""))).alias("content_hash"))
+def pdf_reader(decode: Decoder) -> Reader:
+    """A reader of PDF folders for register(), with the decoder that it is given."""
 
+    def read(spark: SparkSession, s: SourceConfig) -> DataFrame:
+        return parse_pdfs(scan_pdfs(spark, s.path, s.max_bytes, s.max_files).withColumn("path", under(s.path)), decode)
 
-for _name, _reader in (("markdown", _markdown), ("blog", _posts), ("filesystem", _pdf_names), ("pdf", _pdf_names)):
+    return read
+
+
+def _undecoded(_: bytes) -> list:
+    raise ValueError("no PDF decoder is registered")
+
+
+# without a decoder each file of a PDF folder counts as an error
+for _name, _reader in (("markdown", _markdown), ("blog", _posts), ("filesystem", pdf_reader(_undecoded)), ("pdf", pdf_reader(_undecoded))):
     register(_name, _reader)

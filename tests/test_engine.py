@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodeseam.operators import evaluate, graph, vector
 from lodeseam.plans.api import Engine
 from lodeseam.plans.ingest import ingest
-from lodeseam.sources import html, pdf, staging
+from lodeseam.sources import html, pdf, registry, staging
 from lodeseam.sources.config import Settings, SourceConfig, load_settings
 from lodeseam.sources.markdown import read_markdown
 from lodeseam.streaming.ingest import markdown_stream
@@ -172,8 +172,36 @@ def test_pdf_pages(spark):
         return [[("Big", "Serif", 20), ("body words", "Serif", 10), ("x = 1", "Courier", 10), ("tail", "Serif", 10)], None]
 
     runs = pdf.decoded_runs(files, decode).withColumnRenamed("doc", "doc")
-    row = pdf.pages(runs).first()
-    assert (row.headings, row.code_blocks) == (["Big"], ["x = 1"])
+    one, two = pdf.pages(runs).orderBy("page").collect()
+    assert (one.headings, one.code_blocks) == (["Big"], ["x = 1"]) and (two.text, two.headings, two.code_blocks) == ("", None, None)
+
+
+def test_pdfs_into_the_store(engine, tmp_path, monkeypatch):
+    folder = tmp_path / "papers"
+    for name, content in (("one.pdf", "ok"), ("deep/two.PDF", "meta"), ("bad.pdf", "no"), ("blank.pdf", "blank"), ("none.pdf", ""), ("x.txt", "ok")):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(content)
+
+    def decode(data):
+        if data == b"no":
+            raise ValueError("broken")
+        page = [("Big", "Serif", 20), ("body words", "Serif", 10), ("x = 1", "Courier", 10), ("tail", "Serif", 10)]
+        if data == b"meta":
+            return {"title": "A paper", "author": "Anonymous", "subject": "ssrf", "pages": [page, [("Big", "Serif")], [("other words", "Serif", 10)]]}
+        return [page, None] if data == b"ok" else [[("  ", "Serif", 10)]] if data else []
+
+    monkeypatch.setattr(registry, "_readers", dict(registry._readers))
+    engine.settings.sources["papers"] = SourceConfig("papers", "pdf", "Papers", str(folder))
+    assert engine.ingest(["papers"])["papers"] == {"discovered": 4, "errors": 4, "chunks": 0, "new": 0, "changed": 0, "unchanged": 0}
+    registry.register("pdf", registry.pdf_reader(decode))
+    assert engine.ingest(["papers"])["papers"] == {"discovered": 3, "errors": 1, "chunks": 5, "new": 2, "changed": 0, "unchanged": 0}
+    docs = {r.external_id: r for r in engine.store.read("documents").collect()}
+    assert {k: (r.title, r.path, r.categories) for k, r in docs.items()} == {"one.pdf": ("one", "one.pdf", ["local_pdf"]), "deep/two.PDF": ("A paper", "deep/two.PDF", ["local_pdf"])}
+    assert docs["deep/two.PDF"].metadata == {"format": "pdf", "page_count": "3", "code_block_count": "1", "subject": "ssrf", "title_inferred": "false"}
+    two = docs["deep/two.PDF"].doc_id
+    chunks = engine.store.read("chunks").where(f"doc_id = {two}").orderBy("ordinal").collect()
+    assert [(r.page, r.kind, list(r.section_path)) for r in chunks] == [(1, "text", ["A paper", "Big"]), (1, "code", ["A paper", "Big"]), (3, "text", ["A paper", "Big"])]
+    assert engine.search("other words", mode="keyword").first().doc_id == two and engine.ingest(["papers"])["papers"]["unchanged"] == 2
 
 
 def test_vectors(spark):
