@@ -36,7 +36,6 @@ def main(argv: list[str] | None = None) -> int:
         print(__version__)
         return 0
     from pyspark.sql import SparkSession
-    from pyspark.sql import functions as F
 
     from lodeseam.operators.graph import graph_stats
     from lodeseam.plans.api import Engine
@@ -51,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "search":
         e.search(a.query, a.mode, a.source, platform=a.platform, limit=a.limit).show(a.limit, truncate=80)
     elif a.command == "source-show":
-        e.store.read("documents").where(F.col("source_id") == a.source).orderBy("title").limit(a.limit).show(a.limit, truncate=80)
+        e.documents(a.source, a.limit).show(a.limit, truncate=80)
     elif a.command == "stats":
         e.counts().show()
         e.source_stats().show()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeseam.functions import vocab
 from lodeseam.functions.text import lower_ascii
+from lodeseam.scratch import settled
 
 # Confidences by tier, the body's scan length, predicates.
 HEADING, METADATA, BODY, TOGETHER, STRUCTURAL = 0.9, 0.75, 0.6, 0.5, 1.0
@@ -99,7 +100,8 @@ def with_ids(frame: DataFrame, id_col: str, *order: str) -> DataFrame:
     """Ids from 1 in the given order. The count of entities is bounded by the vocabulary, the sources and the cases' titles; a range
     sort with offsets by partition numbers them without one task for all."""
     ordered = frame.orderBy(*order)
-    numbered = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    # settled: a second evaluation of a range sort may draw other ranges
+    numbered = settled(ordered.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
     sizes = numbered.groupBy("_p").agg(F.count("*").alias("c"), F.min("_m").alias("first")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = numbered.join(F.broadcast(sizes.drop("c")), "_p").withColumn(id_col, F.col("before") + F.col("_m") - F.col("first") + 1)
     return out.drop("_p", "_m", "first", "before").select(id_col, *frame.columns)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeseam.functions.text import let
 from lodeseam.operators.lexical import top
 
 #: Query vectors that go to a scan of the vectors together; more take further scans.
@@ -21,9 +22,14 @@ def hashed_vector(text: Column, dim: int = 64) -> Column:
     """A deterministic bag of hashed words of unit length; the default encoder, built-in functions only."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
     bucket = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dim)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(bucket, lambda b: b == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: (x / F.greatest(norm, F.lit(1e-12))).cast("float"))
+    # each step is computed once for a text, not once for each place of the vector
+    raw = let(bucket, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(own, lambda b: b == k)).cast("double")))
+
+    def unit(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
+        return let(norm, lambda n: F.transform(counts, lambda x: (x / F.greatest(n, F.lit(1e-12))).cast("float")))
+
+    return let(raw, unit)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -92,13 +98,18 @@ def delete_vectors(vectors: DataFrame, chunks: DataFrame, model: str | None = No
     return vectors.join(gone.select("chunk_id"), "chunk_id", "left_anti")
 
 
+def coverage(chunks: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """source_id, chunks, embedded: how many chunks of each source have a vector of the model."""
+    own = vectors.where(F.col("model") == model).select("chunk_id").distinct().withColumn("ok", F.lit(1))
+    return chunks.join(own, "chunk_id", "left").groupBy("source_id").agg(F.count("*").alias("chunks"), F.count("ok").alias("embedded"))
+
+
 def load_vectors(vectors: DataFrame, chunks: DataFrame, model: str, dim: int, sources: list[str] | None = None) -> DataFrame:
     """Vectors of the model and of the right length whose chunks exist, by source if sources are given."""
     own = chunks if sources is None else chunks.where(F.col("source_id").isin(sources) if sources else F.lit(False))
     return vectors.where((F.col("model") == model) & (F.size("vector") == dim)).join(own.select("chunk_id"), "chunk_id", "left_semi")
 
 
-
 @F.pandas_udf(T.BinaryType())
 def to_bytes(v):
     """Little-endian f32 bytes of a vector."""

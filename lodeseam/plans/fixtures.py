@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.functions.text import hard_split
+from lodeseam.functions.text import content_hash, hard_split, normalized_hash, token_estimate
 from lodeseam.operators.lexical import token_table
+from lodeseam.plans.api import Engine
+from lodeseam.plans.ingest import ingest
+from lodeseam.plans.store import SCHEMAS
+from lodeseam.scratch import scratch_dir
+from lodeseam.sources.config import Settings, SourceConfig
 
 AUTHORITIES = ("official", "trusted", "user", "unknown")
 VOCABULARY = {"service": ["queen", "thatre", "ouver"], "technique": ["clown", "idiot", "ingthe"], "tool": ["leau", "ciónes", "schen"]}
@@ -62,3 +67,69 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 20, as a query of that id."""
     return vectors(spark, sf_dir).where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), "vector")
+
+
+def model_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for each document with an embedding, of two models and lengths by id."""
+    v = vectors(spark, sf_dir)
+    return v.select("chunk_id", F.when(F.col("chunk_id") % 3 == 0, "old").otherwise("now").alias("model"), F.size("vector").alias("dim"), F.when(F.col("chunk_id") % 5 == 0, F.slice("vector", 1, 32)).otherwise(F.col("vector")).alias("vector"))
+
+
+#: Engines over the tables of a folder, one for each running Spark application.
+_engines: dict[tuple[str, str, str], Engine] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str, what: str, build) -> Engine:
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _engines:
+        _engines[key] = build()
+    return _engines[key]
+
+
+def _filled(df: DataFrame, name: str) -> DataFrame:
+    """df with the store's columns of that table, null where df has none."""
+    wanted = df.sparkSession.createDataFrame([], SCHEMAS[name]).schema
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in wanted if f.name not in df.columns})
+
+
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """A store of the tables: documents with their chunks and tokens, embeddings as vectors, conversations as cases."""
+
+    def build() -> Engine:
+        e = Engine(spark, Settings(data_dir=scratch_dir(spark), model="now"))
+        docs, parts, turns = documents(spark, sf_dir), chunks(spark, sf_dir), table(spark, sf_dir, "conversations")
+        text = F.col("text")
+        e.store.commit(
+            sources=_filled(docs.select("source_id", F.col("source_name").alias("name"), "authority", F.lit(True).alias("enabled")).distinct(), "sources"),
+            documents=_filled(docs.withColumns({"external_id": F.col("doc_id").cast("string"), "content_hash": content_hash(text)}), "documents"),
+            chunks=_filled(parts.withColumns({"kind": F.lit("text"), "token_estimate": token_estimate(text), "content_hash": normalized_hash(text)}), "chunks"),
+            tokens=token_table(parts),
+            vectors=model_vectors(spark, sf_dir),
+            cases=_filled(turns.select(F.col("conv_id").alias("case_id"), F.concat(F.lit("case "), "conv_id").alias("name")).distinct(), "cases"),
+            observations=_filled(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("obs_id"), F.col("conv_id").alias("case_id"), F.col("role").alias("kind"), "text", F.lit("open").alias("status")), "observations"),
+        )
+        return e
+
+    return _kept(spark, sf_dir, "tables", build)
+
+
+def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stored: even documents. Parsed: all of the first 80 % ids by remainder, every third with another text."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("external_id"), "doc_id", "text")
+    stored = docs.where("doc_id % 2 = 0").withColumn("content_hash", content_hash(F.col("text")))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))
+    parsed = docs.where("doc_id % 5 <> 4").withColumn("text", text).drop("doc_id").withColumn("content_hash", content_hash(F.col("text")))
+    return parsed, stored
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> Engine:
+    """A store that took the stored half and then the parsed documents, all as one source."""
+
+    def build() -> Engine:
+        e, book = Engine(spark, Settings(data_dir=scratch_dir(spark))), SourceConfig("book", "markdown", "Book")
+        for part in reversed(halves(spark, sf_dir)):
+            named = part.withColumns({"title": F.concat_ws(" ", "source_id", "external_id"), "url": F.lit(None).cast("string"), "path": F.lit(None).cast("string"), "categories": F.array("source_id")})
+            ingest(e.store, named.drop("doc_id", "source_id"), book, build_graph=False)
+        return e
+
+    return _kept(spark, sf_dir, "ingested", build)

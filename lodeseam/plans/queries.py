@@ -11,9 +11,10 @@ from lodeseam.functions import text as t
 from lodeseam.functions import vocab
 from lodeseam.operators import chunking, dedup, evaluate, graph, hybrid, lexical, vector
 from lodeseam.plans import fixtures as fx
-from lodeseam.plans.ingest import classified, replaced
+from lodeseam.plans.ingest import classified, replaced, upsert_sources
 from lodeseam.sources import html, pdf
-from lodeseam.sources.staging import to_fetch
+from lodeseam.sources.config import SourceConfig
+from lodeseam.sources.staging import post_urls, to_fetch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _all: dict[str, Query] = {}
@@ -97,6 +98,12 @@ def snippets(spark, d):
     return both.select("doc_id", t.snippet(F.col("text"), F.col("query")).alias("snippet"))
 
 
+@query
+def json_lists(spark, d):
+    value = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.array("lang", "source"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('["'), "lang"))
+    return fx.table(spark, d, "documents").select("doc_id", F.array_join(t.json_list(value), ",").alias("items"))
+
+
 # ------------------------------------------------------------------ chunking
 
 
@@ -144,6 +151,12 @@ def postings_terms(spark, d):
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+@query
+def index_ranges(spark, d):
+    p = lexical.compacted(lexical.postings(fx.tokens(spark, d)))
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("most"), F.min("chunk_id").alias("first_chunk"), F.max("chunk_id").alias("last_chunk"))
+
+
 def _bm25(spark, d, allowed=None):
     return lexical.bm25(fx.tokens(spark, d), fx.bench_queries(spark, d), allowed)
 
@@ -200,29 +213,43 @@ def hybrid_merge(spark, d):
     return m.select("query_id", "chunk_id", r6("score").alias("score"), long("merge_pos").alias("merge_pos"))
 
 
-def _vector_table(spark, d):
-    """A vector for each document with an embedding, of two models and lengths by id."""
-    e = fx.vectors(spark, d)
-    return e.select("chunk_id", F.when(F.col("chunk_id") % 3 == 0, "old").otherwise("now").alias("model"), F.size("vector").alias("dim"), F.when(F.col("chunk_id") % 5 == 0, F.slice("vector", 1, 32)).otherwise(F.col("vector")).alias("vector"))
-
-
 @query
 def missing_vectors(spark, d):
     c = fx.documents(spark, d).withColumn("chunk_id", F.col("doc_id"))
-    return vector.missing_vectors(c, _vector_table(spark, d), "now", ["src1", "src2", "src3"]).select("chunk_id", "source_id")
+    return vector.missing_vectors(c, fx.model_vectors(spark, d), "now", ["src1", "src2", "src3"]).select("chunk_id", "source_id")
 
 
 @query
 def embedding_coverage(spark, d):
-    c, v = fx.documents(spark, d), _vector_table(spark, d)
-    both = c.join(v.where("model = 'now'").select(F.col("chunk_id").alias("doc_id"), F.lit(1).alias("ok")), "doc_id", "left")
-    return both.groupBy("source_id").agg(F.count("*").alias("chunks"), F.count("ok").alias("embedded"))
+    c = fx.documents(spark, d).withColumn("chunk_id", F.col("doc_id"))
+    return vector.coverage(c, fx.model_vectors(spark, d), "now")
 
 
 @query
 def stale_dims(spark, d):
     c = fx.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "source_id")
-    return vector.load_vectors(_vector_table(spark, d), c, "now", 64).select("chunk_id", long("dim").alias("dim"))
+    return vector.load_vectors(fx.model_vectors(spark, d), c, "now", 64).select("chunk_id", long("dim").alias("dim"))
+
+
+@query
+def vector_upkeep(spark, d):
+    """Old vectors of three sources go, then every seventh chunk gets one of the new model."""
+    c = fx.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "source_id")
+    left = vector.delete_vectors(fx.model_vectors(spark, d), c, "old", ["src1", "src2", "src3"])
+    new = fx.vectors(spark, d).where("chunk_id % 7 = 0").select("chunk_id", F.lit("now").alias("model"), F.size("vector").alias("dim"), "vector")
+    return vector.upsert_vectors(left, new).select("chunk_id", "model", long("dim").alias("dim"))
+
+
+@query
+def hashed_vectors(spark, d):
+    v = fx.table(spark, d, "documents").select("doc_id", F.posexplode(vector.hashed_vector(F.col("text"))).alias("place", "x"))
+    return v.where("x > 0").select("doc_id", long("place").alias("place"), r6(F.col("x").cast("double")).alias("x"))
+
+
+@query
+def vector_bytes(spark, d):
+    v = fx.vectors(spark, d).select("chunk_id", vector.to_bytes("vector").alias("b"))
+    return v.select("chunk_id", long(F.octet_length("b")).alias("size"), r6(F.aggregate(vector.from_bytes("b"), F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("total"))
 
 
 # ------------------------------------------------------------------ rerank and search
@@ -333,79 +360,83 @@ def doc_techniques(spark, d):
 # ------------------------------------------------------------------ ingest, cases, reports
 
 
-def _halves(spark, d):
-    """Stored: even documents. Parsed: all of the first 80 % ids by remainder, every third with another text."""
-    docs = fx.table(spark, d, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("external_id"), "doc_id", "text")
-    stored = docs.where("doc_id % 2 = 0").withColumn("content_hash", t.content_hash(F.col("text")))
-    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))
-    parsed = docs.where("doc_id % 5 <> 4").withColumn("text", text).drop("doc_id").withColumn("content_hash", t.content_hash(F.col("text")))
-    return parsed, stored
-
-
 @query
 def upsert_changed(spark, d):
-    parsed, stored = _halves(spark, d)
+    parsed, stored = fx.halves(spark, d)
     return classified(parsed, stored).select("external_id", "status", "doc_id", "content_hash")
 
 
 @query
 def ingest_stats(spark, d):
-    parsed, stored = _halves(spark, d)
+    parsed, stored = fx.halves(spark, d)
     return classified(parsed, stored).groupBy("source_id", "status").agg(F.count("*").alias("n"))
 
 
 @query
 def replace_chunks(spark, d):
-    parsed, stored = _halves(spark, d)
+    parsed, stored = fx.halves(spark, d)
     m = classified(parsed, stored).where("status = 'changed'")
     old, new = (chunking.plain_chunks(x.select("doc_id", "text")) for x in (stored, m))
     return replaced(old, new, m).select("doc_id", long("ordinal").alias("ordinal"), t.normalized_hash(F.col("text")).alias("h"))
 
 
+@query
+def ingest_documents(spark, d):
+    return fx.ingested(spark, d).store.read("documents").select("doc_id", "source_id", "external_id", "title", "content_hash")
+
+
+@query
+def ingest_chunks(spark, d):
+    c = fx.ingested(spark, d).store.read("chunks")
+    return c.select("chunk_id", "doc_id", long("ordinal").alias("ordinal"), F.array_join("section_path", " > ").alias("path"), "kind", "page", "text", "content_hash", long("token_estimate").alias("tokens"))
+
+
+@query
+def ingest_tokens(spark, d):
+    return fx.ingested(spark, d).store.read("tokens").select("chunk_id", F.array_join("title", " ").alias("title"), F.array_join("section", " ").alias("section"), long(F.size("text")).alias("words"), long("dl").alias("dl"))
+
+
+@query
+def source_upsert(spark, d):
+    """Three sources are configured anew, one is added, the others stay; versions are never configured."""
+    stored = fx.engine(spark, d).store.read("sources").withColumn("version", F.concat(F.lit("v-"), "source_id"))
+    given = [SourceConfig(s, "markdown", f"New {s}", url=f"https://{s}.example", authority="official", enabled=s != "src2") for s in ("src1", "src2", "src3", "added")]
+    return upsert_sources(stored, given).select("source_id", "name", "authority", "source_type", "url", "enabled", "version")
+
+
 @query
 def case_list(spark, d):
-    c = fx.table(spark, d, "conversations")
-    return c.groupBy("conv_id").agg(F.count("*").alias("observations"), F.max("turn").alias("last_turn"))
+    return fx.engine(spark, d).case_list().select("case_id", "name", long("observation_count").alias("observations"))
 
 
 @query
 def case_state(spark, d):
-    c = fx.table(spark, d, "conversations")
-    last = c.groupBy("conv_id", "role").agg(F.max_by("text", "turn").alias("latest"), F.max("turn").alias("turn"))
-    return last.select("conv_id", F.col("role").alias("kind"), "turn", "latest")
+    return fx.engine(spark, d).case_log().select("case_id", "name", "obs_id", "kind", "text", "status")
 
 
 @query
 def source_stats(spark, d):
-    c = fx.chunks(spark, d)
-    return c.groupBy("source_id").agg(F.countDistinct("doc_id").alias("documents"), F.count("chunk_id").alias("chunks"))
+    return fx.engine(spark, d).source_stats()
 
 
 @query
 def table_counts(spark, d):
-    names = ("documents", "pages", "embeddings", "conversations", "benchmark", "labels", "events")
-    parts = [fx.table(spark, d, n).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return fx.engine(spark, d).counts().select(F.col("table").alias("name"), "n")
 
 
 @query
 def source_listing(spark, d):
-    return fx.documents(spark, d).where("source_id = 'src5'").select("doc_id", "title").orderBy("title").limit(20)
+    return fx.engine(spark, d).documents("src5", 20).select("doc_id", "title")
 
 
 @query
 def excerpt_lookup(spark, d):
-    c = fx.chunks(spark, d)
-    return c.select("chunk_id", "source_id", "source_name", "title", "authority", F.col("text").alias("excerpt"))
+    return fx.engine(spark, d).excerpts().select("chunk_id", "source_id", "source_name", "title", "authority", F.col("text").alias("excerpt"))
 
 
 @query
 def section_filter(spark, d):
-    c = fx.chunks(spark, d)
-    return c.where(F.exists("section_path", lambda s: F.contains(F.lower(s), F.lit("e")))).groupBy("lang").agg(F.count("*").alias("n"))
+    return fx.engine(spark, d).excerpts("E").groupBy(F.col("section_path")[0].alias("lang")).agg(F.count("*").alias("n"))
 
 
 def _gold(spark, d):
@@ -461,8 +492,7 @@ def html_text(spark, d):
 def post_links(spark, d):
     day = F.format_string("/2024/%02d/%02d/p%d.html", (F.col("page_id") % 12 + 1).cast("int"), (F.col("page_id") % 28 + 1).cast("int"), (F.col("page_id") % 50).cast("int"))
     index = fx.table(spark, d, "pages").select("page_id", F.concat(F.lit('<a href="'), day, F.lit('">x</a><a href="/about.html">y</a><a href="'), day, F.lit('">z</a>')).alias("html"))
-    found = F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="(/[0-9]{4}/[0-9]{2}/[0-9]{2}/[^/"]+\.html)"'), F.lit(1)))
-    return index.select("page_id", F.array_join(found, " ").alias("urls"))
+    return post_urls(index, keep=("page_id",)).select("page_id", long("pos").alias("pos"), "url")
 
 
 @query

@@ -157,6 +157,23 @@ hs AS (SELECT *, sha256(text) AS stored FROM hd WHERE doc_id % 2 = 0),
 hp AS (SELECT source_id, external_id, CASE WHEN doc_id % 3 = 0 THEN text || ' more' ELSE text END AS text FROM hd WHERE doc_id % 5 <> 4),
 hm AS (SELECT hp.source_id, hp.external_id, hp.text, hs.doc_id, sha256(hp.text) AS content_hash, CASE WHEN hs.doc_id IS NULL THEN 'new' WHEN sha256(hp.text) = stored THEN 'unchanged' ELSE 'changed' END AS status FROM hp LEFT JOIN hs ON hp.source_id = hs.source_id AND hp.external_id = hs.external_id)"""
 
+#: The state after the even documents and then the parsed ones were ingested as one source: new ids follow the largest, by name.
+INGESTED = (
+    HALVES
+    + """, i0 AS (SELECT doc_id AS own, external_id, source_id || ' ' || external_id AS title, source_id, text, row_number() OVER (ORDER BY external_id) AS doc_id FROM hs),
+i1 AS (SELECT hp.external_id, hp.source_id || ' ' || hp.external_id AS title, hp.source_id, hp.text, i0.doc_id FROM hp LEFT JOIN i0 USING (external_id)),
+iz AS (SELECT doc_id, external_id, title, source_id, text FROM i1 WHERE doc_id IS NOT NULL UNION ALL SELECT doc_id, external_id, title, source_id, text FROM i0 WHERE external_id NOT IN (SELECT external_id FROM i1)
+ UNION ALL SELECT (SELECT max(doc_id) FROM i0) + row_number() OVER (ORDER BY external_id), external_id, title, source_id, text FROM i1 WHERE doc_id IS NULL)"""
+)
+INGESTED_CHUNKS = (
+    INGESTED
+    + ", "
+    + markdown(400)[markdown(400).index("ml AS") :].replace("FROM md)", "FROM (SELECT doc_id AS page_id, text FROM iz))", 1)
+    + f""", id AS (SELECT mz.*, title, iz.source_id, sha256({NORM("mz.text")}) AS content_hash FROM mz JOIN iz ON page_id = doc_id),
+ic AS (SELECT page_id * 1000000 + ordinal AS chunk_id, page_id AS doc_id, ordinal::BIGINT AS ordinal, source_id || ' > ' || title || CASE WHEN path = '' THEN '' ELSE ' > ' || path END AS path, title, CASE WHEN path = '' THEN title ELSE string_split(path, ' > ')[-1] END AS head, kind, text, content_hash
+ FROM (SELECT *, row_number() OVER (PARTITION BY page_id, content_hash ORDER BY ordinal) AS k FROM id) WHERE k = 1)"""
+)
+
 GOLD = f"""gi AS (SELECT item_id AS query_id, ' ' || {NORM("text")} || ' ' AS p FROM benchmark), go AS (SELECT doc_id, ' ' || {NORM("text")} || ' ' AS n FROM documents),
 gl AS (SELECT query_id, list(DISTINCT doc_id) AS relevant FROM go JOIN gi ON contains(n, p) GROUP BY query_id)"""
 RANKING = ", ht AS (SELECT rk.*, ch.doc_id FROM rk JOIN ch ON rk.chunk_id = ch.chunk_id WHERE rank <= 15), dk AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), doc_id) AS rank FROM ht GROUP BY query_id, doc_id)"
@@ -189,6 +206,7 @@ p3 AS (SELECT conv_id, turn, c, string_agg(t, chr(10) ORDER BY i) AS text FROM p
         "front_matter": "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN text ELSE '--- ' || text END AS body FROM benchmark",
         "title_split": f"SELECT page_id, CASE WHEN page_id % 4 = 3 THEN NULL ELSE nullif(trim(regexp_replace(x, {title}, '', 'i')), '') END AS name, ['htb', 'pg', 'htb', 'unknown'][page_id % 4 + 1] AS kind FROM (SELECT page_id, ['HTB: ', 'pg - ', 'HackTheBox:', 'other: '][page_id % 4 + 1] || url AS x FROM pages)",
         "humanize": f"SELECT page_id, array_to_string(list_transform(l, lambda c, i: CASE WHEN i = 1 OR NOT regexp_matches(l[i - 1], '\\p{{L}}') THEN upper(c) ELSE c END), '') AS title, 'https://book.example/' || {SLUG} AS url FROM (SELECT page_id, url, string_split(lower(trim(translate({SLUG}, '-_', '  '))), '') AS l FROM pages)",
+        "json_lists": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang || ',' || source ELSE '' END AS items FROM documents",
         "query_tokens": f"SELECT item_id AS query_id, array_to_string({dedup(QTOK('text'))}, ' ') AS tokens FROM benchmark",
         "snippets": w("nn AS (SELECT count(*) AS n FROM benchmark)") + f"SELECT doc_id, {snippet_of('d.text', 'b.text')} AS snippet FROM documents d, nn JOIN benchmark b ON b.item_id = d.doc_id % n",
         "hard_split_chunks": w(CHUNKS) + f"SELECT chunk_id, doc_id, ordinal::BIGINT AS ordinal, text, {est('text')}::BIGINT AS tokens FROM ch",
@@ -198,6 +216,7 @@ p3 AS (SELECT conv_id, turn, c, string_agg(t, chr(10) ORDER BY i) AS text FROM p
         "page_pack_chunks": w(pack) + "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, c) - 1)::BIGINT AS ordinal, text FROM p3",
         "carry_forward_section": "SELECT conv_id, turn, coalesce(last_value(CASE WHEN turn % 3 = 0 THEN 'Turn ' || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '') AS section FROM conversations",
         "postings_terms": w(TOKENS) + "SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(list_concat(t1, t2, t3)) AS term FROM tk) GROUP BY ALL) GROUP BY term",
+        "index_ranges": w(TOKENS) + "SELECT term, count(*)::BIGINT AS df, max(tf)::BIGINT AS most, min(chunk_id) AS first_chunk, max(chunk_id) AS last_chunk FROM (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(list_concat(t1, t2, t3)) AS term FROM tk) GROUP BY ALL) GROUP BY term",
         "bm25_topk": w(bm25()) + _TOLD.format("rank <= 10"),
         "bm25_offset": w(bm25()) + _TOLD.format("rank > 10 AND rank <= 15"),
         "bm25_source_filter": w(bm25(allowed="source_id IN ('src1', 'src2', 'src3')")) + _TOLD.format("rank <= 10"),
@@ -208,6 +227,9 @@ p3 AS (SELECT conv_id, turn, c, string_agg(t, chr(10) ORDER BY i) AS text FROM p
         "missing_vectors": w(DOCS, _VECTORS) + "SELECT doc_id AS chunk_id, source_id FROM dd WHERE source_id IN ('src1', 'src2', 'src3') AND NOT EXISTS (SELECT 1 FROM vt WHERE vt.chunk_id = doc_id AND model = 'now')",
         "embedding_coverage": w(DOCS, _VECTORS) + "SELECT source_id, count(*) AS chunks, count(vt.chunk_id) AS embedded FROM dd LEFT JOIN vt ON vt.chunk_id = doc_id AND model = 'now' GROUP BY source_id",
         "stale_dims": w(DOCS, _VECTORS) + "SELECT chunk_id, dim FROM vt WHERE model = 'now' AND NOT stale AND EXISTS (SELECT 1 FROM dd WHERE doc_id = chunk_id)",
+        "vector_upkeep": w(DOCS, _VECTORS) + "SELECT chunk_id, CASE WHEN chunk_id % 7 = 0 THEN 'now' ELSE model END AS model, dim FROM vt WHERE chunk_id % 7 = 0 OR NOT (model = 'old' AND chunk_id IN (SELECT doc_id FROM dd WHERE source_id IN ('src1', 'src2', 'src3')))",
+        "hashed_vectors": "SELECT doc_id, place, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 6) AS x FROM (SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS place, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents) GROUP BY ALL)",
+        "vector_bytes": "SELECT vec_id AS chunk_id, (4 * len(embedding))::BIGINT AS size, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings",
         "rerank_scores": w(POOL) + "SELECT query_id, chunk_id, round(bonus, 6)::DOUBLE AS bonus, round(final, 6)::DOUBLE AS final FROM fi",
         "keyword_overlap": w(POOL) + "SELECT query_id, chunk_id, round(overlap, 6) AS overlap FROM fi",
         "intent_bonus": w(POOL) + "SELECT query_id, chunk_id, intent::DOUBLE AS bonus FROM fi",
@@ -222,14 +244,20 @@ e1 AS (SELECT *, score * CASE authority WHEN 'official' THEN 1.0 WHEN 'trusted'
         "graph_neighbours": w(GRAPH) + "SELECT 'out' AS direction, object AS other, object_type AS other_type, predicate, confidence, inferred, doc_id FROM ed WHERE subject = 'clown' AND subject_type = 'technique' UNION ALL SELECT 'in', subject, subject_type, predicate, confidence, inferred, doc_id FROM ed WHERE object = 'clown' AND object_type = 'technique'",
         "entity_like": w(GRAPH) + "SELECT name, entity_type FROM en WHERE entity_type = 'source' AND contains(lower(name), 'src7')",
         "doc_techniques": w(GRAPH) + "SELECT en.doc_id, string_agg(DISTINCT subject, ',' ORDER BY subject) AS techniques FROM ed JOIN en ON en.name = object AND en.entity_type = 'writeup' WHERE predicate = 'demonstrated_in' AND subject_type = 'technique' GROUP BY en.doc_id",
+        "ingest_documents": w(INGESTED) + "SELECT doc_id, 'book' AS source_id, external_id, title, sha256(text) AS content_hash FROM iz",
+        "ingest_chunks": w(INGESTED_CHUNKS) + f"SELECT chunk_id, doc_id, ordinal, path, kind, NULL::INT AS page, text, content_hash, {est('text')}::BIGINT AS tokens FROM ic",
+        "ingest_tokens": w(INGESTED_CHUNKS) + f"SELECT chunk_id, array_to_string({TOK('title')}, ' ') AS title, array_to_string({TOK('head')}, ' ') AS section, len({TOK('text')})::BIGINT AS words, (len({TOK('title')}) + len({TOK('head')}) + len({TOK('text')}))::BIGINT AS dl FROM ic",
+        "source_upsert": w(DOCS) + """SELECT DISTINCT source_id, CASE WHEN source_id IN ('src1', 'src2', 'src3') THEN 'New ' || source_id ELSE source_name END AS name, CASE WHEN source_id IN ('src1', 'src2', 'src3') THEN 'official' ELSE authority END AS authority,
+ CASE WHEN source_id IN ('src1', 'src2', 'src3') THEN 'markdown' END AS source_type, CASE WHEN source_id IN ('src1', 'src2', 'src3') THEN 'https://' || source_id || '.example' END AS url, source_id <> 'src2' AS enabled, 'v-' || source_id AS version FROM dd
+ UNION ALL SELECT 'added', 'New added', 'official', 'markdown', 'https://added.example', true, NULL""",
         "upsert_changed": w(HALVES) + "SELECT external_id, status, doc_id, content_hash FROM hm",
         "ingest_stats": w(HALVES) + "SELECT source_id, status, count(*) AS n FROM hm GROUP BY ALL",
         "replace_chunks": w(HALVES, f"""ra AS (SELECT doc_id, text FROM hs WHERE doc_id NOT IN (SELECT doc_id FROM hm WHERE status = 'changed') UNION ALL SELECT doc_id, text FROM hm WHERE status = 'changed'),
 rb AS (SELECT doc_id, CASE WHEN {est("text")} <= 400 THEN [{STRIP("text")}] ELSE list_transform(range(0, len(w), 300), lambda k: array_to_string(w[k + 1 : k + 300], ' ')) END AS p FROM (SELECT *, regexp_extract_all(text, '[^\\s\\v]+') AS w FROM ra))""") + f"SELECT doc_id, (i - 1)::BIGINT AS ordinal, sha256({NORM('p[i]')}) AS h FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM rb) WHERE p[i] <> ''",
-        "case_list": "SELECT conv_id, count(*) AS observations, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
-        "case_state": "SELECT conv_id, role AS kind, max(turn) AS turn, arg_max(text, turn) AS latest FROM conversations GROUP BY ALL",
+        "case_list": "SELECT conv_id AS case_id, 'case ' || conv_id AS name, count(*) AS observations FROM conversations GROUP BY conv_id",
+        "case_state": "SELECT conv_id AS case_id, 'case ' || conv_id AS name, conv_id * 1000 + turn AS obs_id, role AS kind, text, 'open' AS status FROM conversations",
         "source_stats": w(CHUNKS) + "SELECT source_id, count(DISTINCT doc_id) AS documents, count(chunk_id) AS chunks FROM ch GROUP BY source_id",
-        "table_counts": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("documents", "pages", "embeddings", "conversations", "benchmark", "labels", "events")),
+        "table_counts": w(CHUNKS) + "SELECT 'sources' AS name, count(DISTINCT source) AS n FROM documents UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'chunks', count(*) FROM ch UNION ALL SELECT 'vectors', count(*) FROM embeddings UNION ALL SELECT 'entities', 0 UNION ALL SELECT 'edges', 0 UNION ALL SELECT 'cases', count(DISTINCT conv_id) FROM conversations",
         "source_listing": w(DOCS) + "SELECT doc_id, title FROM dd WHERE source_id = 'src5' ORDER BY title LIMIT 20",
         "excerpt_lookup": w(CHUNKS) + "SELECT chunk_id, source_id, source_name, title, authority, text AS excerpt FROM ch",
         "section_filter": w(CHUNKS) + "SELECT lang, count(*) AS n FROM ch WHERE contains(lower(lang), 'e') GROUP BY lang",
@@ -238,7 +266,7 @@ rb AS (SELECT doc_id, CASE WHEN {est("text")} <= 400 THEN [{STRIP("text")}] ELSE
 e2 AS (SELECT len(list_intersect(r[1:5], relevant))::DOUBLE / len(relevant) AS recall, CASE WHEN len(r) = 0 THEN 0 ELSE len(list_filter(r[1:5], lambda d: list_contains(relevant, d)))::DOUBLE / len(r[1:5]) END AS precision, coalesce(1.0 / list_min(list_filter(list_transform(r, lambda d, i: CASE WHEN list_contains(relevant, d) THEN i END), lambda i: i IS NOT NULL)), 0)::DOUBLE AS rr, list_has_any(r[1:5], relevant)::INT AS hit FROM ev)""") + "SELECT count(*) AS queries, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(rr), 6) AS mrr, round(avg(hit), 6) AS hit_rate FROM e2",
         "latency_percentile": "SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events",
         "citation_integrity": w(bm25() + RANKING) + "SELECT count(*) AS returned, sum((rank <> 15 OR chunk_id = 0)::INT)::BIGINT AS resolved, round(sum((rank <> 15 OR chunk_id = 0)::INT) / count(*), 6) AS integrity FROM ht",
-        "post_links": "SELECT page_id, printf('/2024/%02d/%02d/p%d.html', page_id % 12 + 1, page_id % 28 + 1, page_id % 50) AS urls FROM pages",
+        "post_links": "SELECT page_id, 0::BIGINT AS pos, printf('/2024/%02d/%02d/p%d.html', page_id % 12 + 1, page_id % 28 + 1, page_id % 50) AS url FROM pages",
         "pdf_headings": w(_RUNS, """rb AS (SELECT doc, page, CASE WHEN count(*) FILTER (size > 0) = 0 THEN 0 ELSE list(size ORDER BY size) FILTER (size > 0)[(count(*) FILTER (size > 0)) // 2 + 1] END AS body FROM ru GROUP BY ALL),
 rc AS (SELECT ru.*, trim(text) AS t, body > 0 AND size >= body * 1.15 AND length(trim(text)) <= 100 AS big FROM ru JOIN rb USING (doc, page)),
 rd AS (SELECT *, sum((NOT big)::INT) OVER (PARTITION BY doc, page ORDER BY idx) AS isl FROM rc),

@@ -54,11 +54,11 @@ def unpack(archive: str, into: str, version: str) -> bool:
     return True
 
 
-def post_urls(index: DataFrame, html_col: str = "html", most: int | None = None) -> DataFrame:
-    """pos, url: links of the form /YYYY/MM/DD/slug.html of a blog's index page, each once, in order of first occurrence."""
+def post_urls(index: DataFrame, html_col: str = "html", most: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """pos, url after the columns to keep: links of the form /YYYY/MM/DD/slug.html of a blog's index page, each once, in order of first occurrence."""
     hrefs = F.regexp_extract_all(html_col, F.lit(r"""href\s*=\s*["']?(/[0-9]{4}/[0-9]{2}/[0-9]{2}/[^/"'\s>]+\.html)["'\s>]"""), F.lit(1))
     urls = F.array_distinct(hrefs)
-    return index.select(F.posexplode(F.slice(urls, 1, most) if most is not None else urls).alias("pos", "url"))
+    return index.select(*keep, F.posexplode(F.slice(urls, 1, most) if most is not None else urls).alias("pos", "url"))
 
 
 def to_fetch(urls: DataFrame, cached: DataFrame, force: bool = False) -> DataFrame:

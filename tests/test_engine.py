@@ -1,5 +1,6 @@
 import tarfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +242,23 @@ def test_reader_registry(spark, tmp_path):
     with pytest.raises(ValueError):
         reader_for(SourceConfig("x", "carrier-pigeon"))
     assert ingest and read_markdown and reader_for(SourceConfig("x"))
+
+
+def test_percentiles_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "SORTED_VALUES", 5)
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(0, 1, 300).round(2), np.full(200, 0.5), rng.normal(50, 9, 20)])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(3)
+    got = evaluate.percentiles(df, "x", 0, 37, 50, 95, 100).first()
+    assert np.allclose(list(got), np.percentile(values, [0, 37, 50, 95, 100]), atol=1e-12)
+    assert list(evaluate.percentiles(df.where("x IS NULL"), "x", 50).first()) == [None]
+    odd = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "x double")
+    assert evaluate.percentiles(odd, "x", 50).first().p50 == 2.0 and np.isnan(evaluate.percentiles(odd, "x", 100).first().p100)
+
+
+def test_lookups(engine, spark):
+    engine.ingest()
+    first = engine.documents("book", 1).first()
+    assert engine.document(first.doc_id).first().title == first.title and engine.document(-1).isEmpty()
+    assert engine.entity("The Book", "source").count() == 1 and engine.entity("The Book", "writeup").isEmpty()
+    assert engine.excerpts("BLIND").count() == 1 and engine.excerpts().count() == engine.store.read("chunks").count()
